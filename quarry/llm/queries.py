@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import packing, quality, simhash, tiff
+
+try:
+    import public_tokenizers
+
+    VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+except ImportError:  # the package only tells where the files are
+    VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +26,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, table, cut)
 
 
+def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.text_features(_table(spark, sf_dir, "documents"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
