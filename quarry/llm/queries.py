@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, simhash, tiff, warc
+from . import chat, language, mixing, packing, pitman_yor, quality, simhash, tiff, warc
 from .store import keep
 
 try:
@@ -41,6 +41,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = language.held_out(F.col("doc_id"))
+    model = language.learn(language.learnable(docs, out))
+    return language.identify(docs, model, spans=False).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "<|im_end|><|im_start|>assistant ok"
     extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
@@ -54,6 +61,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, text=None).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(_table(spark, sf_dir, "documents"), pitman_yor.held_out(F.col("doc_id")))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.normalise_archives(warc.write_archives(_table(spark, sf_dir, "pages"))))
 
