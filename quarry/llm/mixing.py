@@ -116,7 +116,8 @@ def copies(mixed: DataFrame, text: str = "text") -> DataFrame:
     """The rows of a mix, each as often as it is taken; a part of a text is its first words."""
     rest = F.col("taken") % F.col("size")
     whole = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    part = F.regexp_extract(F.col(text), F.concat(F.lit(r"^(?s)[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), rest.cast("string"), F.lit("}")), F.lit(0))
+    pieces = F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
+    part = F.array_join(F.slice(pieces, 1, rest.cast("int")), "")
     out = mixed.filter("taken > 0").withColumn("_copy", F.explode(whole))
     last = (F.col("_copy") == F.ceil(F.col("taken") / F.col("size"))) & (rest > 0)
     return out.withColumn(text, F.when(last, F.rtrim(part)).otherwise(F.col(text)))

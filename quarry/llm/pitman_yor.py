@@ -119,7 +119,7 @@ class Table:
     """The most frequent tokens: ``keys`` sorted, with ``count`` and ``symbol`` (SYMBOLS: one of the others)."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.lexsort((keys, -counts))
+        order = np.lexsort((keys.view(np.int64), -counts))
         rank = np.empty(len(keys), np.int32)
         rank[order] = np.arange(len(keys), dtype=np.int32)
         up = np.argsort(keys)
