@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.ordered import with_position
+from ..plans.ordered import carry, with_position
 from ..schema import columns_of, is_float, known, numeric_columns, party_of, require
 from . import aggregates
 
@@ -99,7 +99,7 @@ class Table:
     def fillna(self, value: object | dict | None = None, method: str | None = None, limit: int | None = None, order: list[str] | None = None) -> Table:
         """By a value for all or some columns, or by the neighbour before (ffill) or after (bfill), up to ``limit`` rows away.
 
-        Neighbours go by ``order``, or by position. They are found in one sorted pass, which one task does.
+        Neighbours go by ``order``, or by position. With a ``limit`` one task sorts and passes all rows.
         """
         if method is None:
             values = value if isinstance(value, dict) else dict.fromkeys(self.columns, value)
@@ -107,12 +107,13 @@ class Table:
             return self._each(lambda c: F.coalesce(known(self.df, c), F.lit(values[c]).cast(self.dtypes[c])), [c for c in values if fits(c)])
         rows = self.df if order else with_position(self.df)
         keys = [F.col(c) for c in order or ["_rid"]]
-        span = limit if limit is not None else Window.unboundedFollowing
+        if limit is None:
+            return Table(carry(rows.select(*(known(rows, c).alias(c) for c in rows.columns)), keys, self.columns, method == "ffill")[self.columns])
         if method == "ffill":
-            window = Window.orderBy(*keys).rowsBetween(-limit if limit is not None else Window.unboundedPreceding, 0)
+            window = Window.orderBy(*keys).rowsBetween(-limit, 0)
             pick = F.last
         else:
-            window = Window.orderBy(*keys).rowsBetween(0, span)
+            window = Window.orderBy(*keys).rowsBetween(0, limit)
             pick = F.first
         return Table(rows.select(*(pick(known(self.df, c), ignorenulls=True).over(window).alias(c) for c in self.columns)))
 

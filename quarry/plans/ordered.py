@@ -21,17 +21,39 @@ def with_position(df: DataFrame, name: str = "_rid") -> DataFrame:
     return df.withColumn(name, within + F.element_at(offsets, F.spark_partition_id() + 1))
 
 
+def _ranges(df: DataFrame, order: list[Column], partitions: int | None) -> tuple[DataFrame, list[str]]:
+    """``df`` with its order as columns, dealt by ranges of it, and the number of each row's range."""
+    names = [f"_k{i}" for i in range(len(order))]
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.select("*", *(c.alias(n) for c, n in zip(order, names)))
+    return keyed.repartitionByRange(partitions, *(F.col(n) for n in names)).withColumn("_part", F.spark_partition_id()).persist(), names
+
+
+def carry(df: DataFrame, order: list[Column], columns: list[str], forward: bool = True, partitions: int | None = None) -> DataFrame:
+    """``df`` with nulls of ``columns`` replaced by the last value before (or the first one after) in the given order.
+
+    As with ``running``, each range is a window of its own, and only its last values go to the next ones.
+    """
+    ranged, names = _ranges(df, order, partitions)
+    last = F.last if forward else F.first
+    upto = Window.partitionBy("_part").orderBy(*names)
+    upto = upto.rowsBetween(Window.unboundedPreceding, 0) if forward else upto.rowsBetween(0, Window.unboundedFollowing)
+    pick = F.max_by if forward else F.min_by
+    rank = F.struct(*names)
+    ends = ranged.groupBy("_part").agg(*(pick(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(f"_e_{c}") for c in columns))
+    others = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1) if forward else Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)  # a row for each range
+    ends = ends.select("_part", *(last(f"_e_{c}", ignorenulls=True).over(others).alias(f"_e_{c}") for c in columns))
+    out = ranged.select("*", *(last(c, ignorenulls=True).over(upto).alias(f"_w_{c}") for c in columns)).join(F.broadcast(ends), "_part")
+    return out.select(*(F.coalesce(f"_w_{c}", f"_e_{c}").alias(c) if c in columns else F.col(c) for c in df.columns))
+
+
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column], partitions: int | None = None) -> DataFrame:
     """``df`` with running totals (each row included) in the given order.
 
     Rows are dealt by ranges of the order, each range is summed up by a window of its own, and the
     totals of the ranges before it are added. Only one row for each range is gathered.
     """
-    names = [f"_k{i}" for i in range(len(order))]
-    plain = [c.alias(n) for c, n in zip(order, names)]
-    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.select("*", *plain, *(v.alias(f"_v_{k}") for k, v in sums.items()))
-    ranged = keyed.repartitionByRange(partitions, *(F.col(n) for n in names)).withColumn("_part", F.spark_partition_id()).persist()
+    ranged, names = _ranges(df.select("*", *(v.alias(f"_v_{k}") for k, v in sums.items())), order, partitions)
     totals = ranged.groupBy("_part").agg(*(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     totals = totals.select("_part", *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_t_{k}") for k in sums))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.operators import aggregates, filters, groupby, joins, sampling
 from quarry.operators.frame import Table, horizontal
 from quarry.plans.components import Registry, standard
-from quarry.plans.ordered import running, with_position
+from quarry.plans.ordered import carry, running, with_position
 from quarry.schema import columns_of, kind_of, party_of, schema_of, tag
 
 A = [("1", "K5", "A5", 5.0, 0.0), ("2", "K1", "A1", 1.0, 1.0), ("3", None, "A2", 2.0, 1.0), ("4", "K6", "A6", float("nan"), 0.0)]
@@ -55,12 +55,13 @@ def test_table(a):
     assert [r.a3 for r in t[["a3"]].isna().df.collect()] == [False, False, False, True]
     assert ids(t.iloc([0, 3]).df) == ["1", "4"] and ids(t.iloc(slice(1, 4, 2)).df) == ["2", "4"]
     assert t.fillna({"a3": 9.0}).df.collect()[3].a3 == 9.0
-    assert [r.a1 for r in t.fillna(method="ffill").df.collect()] == ["K5", "K1", "K1", "K6"]
-    assert [r.a1 for r in t.fillna(method="bfill", order=["id1"]).df.collect()] == ["K5", "K1", "K6", "K6"]
+    assert [r.a1 for r in t.fillna(method="ffill").df.orderBy("id1").collect()] == ["K5", "K1", "K1", "K6"]
+    assert [r.a1 for r in t.fillna(method="bfill", order=["id1"]).df.orderBy("id1").collect()] == ["K5", "K1", "K6", "K6"]
     assert t.select_dtypes().columns == ["a3", "y"] and t.drop("zz", errors="ignore").columns == a.columns
     assert Table(a.select("id1")).astype("int").dtypes == {"id1": "int"}
     assert [r.id1 for r in Table(a.select("a1").withColumnRenamed("a1", "id1")).astype("int", errors="ignore").df.collect()] == [None] * 4
     assert [r.a3 for r in t[["a3"]].subtract(1.0).pow(2.0).df.limit(3).collect()] == [16.0, 0.0, 1.0]
+    assert [r.a1 for r in t.fillna(method="ffill", limit=1).df.collect()] == ["K5", "K1", "K1", "K6"]
     side = t[["id1"]].concat(Table(a.select(F.col("y").alias("z"))), axis=1)
     assert sorted(map(tuple, side.df.collect())) == [("1", 0.0), ("2", 1.0), ("3", 1.0), ("4", 0.0)]
     with pytest.raises(KeyError):
@@ -144,6 +145,9 @@ def test_positions_and_running_totals(spark):
     assert [r._rid for r in with_position(df).orderBy("id").collect()] == list(range(100))
     out = running(df, [-F.col("id")], {"s": F.col("id")}).collect()
     assert {r.id: r.s for r in out} == {i: sum(range(i, 100)) for i in range(100)}
+    gaps = df.select("id", F.when(F.col("id") % 40 == 5, F.col("id")).alias("v"))
+    assert {r.id: r.v for r in carry(gaps, [F.col("id")], ["v"]).collect()} == {i: None if i < 5 else (i - 5) // 40 * 40 + 5 for i in range(100)}
+    assert {r.id: r.v for r in carry(gaps, [F.col("id")], ["v"], forward=False).collect()} == {i: next((k for k in (5, 45, 85) if k >= i), None) for i in range(100)}
     assert math.isclose(running(df.limit(0), [F.col("id")], {"s": F.col("id")}).count(), 0)
 
 
