@@ -43,9 +43,12 @@ class Registry:
 
 def standard() -> Registry:
     """The components of this library."""
+    from ..ml import boost, linear, neighbours
     from ..operators import filters, groupby, joins, sampling
     from ..rules import base, binning, columns
+    from ..sources import tables
     from ..stats import evaluation, statistics
+    from . import export
     from .sql_processor import SqlRule
 
     r = Registry()
@@ -57,7 +60,10 @@ def standard() -> Registry:
         "preprocessing/feature_calculate": fit(columns.FeatureCalculate), "preprocessing/fillna": fit(columns.FillNA), "preprocessing/onehot_encode": fit(columns.OneHot), "preprocessing/vert_binning": fit(binning.Bins),
         "preprocessing/vert_woe_binning": fit(binning.WoeBins), "preprocessing/sql_processor": fit(SqlRule), "postprocessing/score_card_transformer": fit(columns.ScoreCard),
         "stats/table_statistics": statistics.table_statistics, "stats/groupby_statistics": groupby.group_statistics, "stats/ss_pearsonr": statistics.pearson_table, "stats/ss_vif": statistics.vif, "stats/stats_psi": statistics.population_stability,
-        "ml.eval/biclassification_eval": evaluation.auc_ks, "ml.eval/regression_eval": evaluation.regression, "ml.eval/prediction_bias_eval": evaluation.prediction_bias,
+        "io/data_source": tables.data_source, "io/data_sink": tables.data_sink, "io/identity": lambda x: x, "io/read_data": tables.read_rule, "io/write_data": tables.write_rule, "data_prep/unbalance_psi_cache": joins.cache_keys,
+        "ml.train/ss_sgd_train": linear.descent, "ml.train/ss_glm_train": linear.glm, "ml.train/sgb_train": boost.train, "ml.train/ss_xgb_train": boost.train, "ml.train/kmeans_train": neighbours.kmeans, "ml.train/knn_train": neighbours.knn,
+        "ml.train/gnb_train": neighbours.NaiveBayes.fit, "ml.train/gpc_train": neighbours.GaussianProcess.fit, "ml.predict/predict": export.prediction_table, "model/model_export": export.export, "model/serving_model_inferencer": export.infer,
+        "ml.eval/ss_pvalue": linear.t_test, "ml.eval/biclassification_eval": evaluation.auc_ks, "ml.eval/regression_eval": evaluation.regression, "ml.eval/prediction_bias_eval": evaluation.prediction_bias,
     }.items():
         r.add(name)(f)
     return r

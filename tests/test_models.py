@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.ml import boost, linear, neighbours, privacy
+from quarry.plans import export
 from quarry.rules import binning, columns
+from quarry.schema import tag
 from quarry.sources import tables
 from quarry.stats import evaluation, statistics
 from quarry.streaming import streams
@@ -212,3 +214,17 @@ def test_streams(spark, tmp_path):
     assert streams.drain(streams.deduplicated(source().withColumn("k", F.col("k") % 5), ["k"], "t", "1 hour"), "fresh").count() == 5
     assert streams.sessions(rows, "t", "5 minutes", []).first().n == 40
     assert streams.condition(rows, "v", ">", "30", other=True).count() == 31
+
+
+def test_stored_inference(data):
+    scaler = columns.Scaler.fit(data, X)
+    rows = scaler.apply(data)
+    card = columns.ScoreCard(prediction="p", scaled_value=600, odd_base=20, pdo=20, low=0, high=1000)
+    for model in (linear.logistic(rows, X, "y", max_iter=5), boost.train(rows, X, "y", rounds=2, max_depth=2)):
+        out = export.infer(data, export.export([scaler], model, [card], "p"))
+        assert accuracy(out, F.col("p")) > 0.8 and out.filter("score IS NULL").count() == 0
+        assert out.columns == [*data.columns, "p", "score"]
+    tagged = tag(data, "a", {"id": "id", "y": "label"})
+    assert export.prediction_table(tagged, F.col("a"), labels=True, features=["b"]).columns == ["prediction", "id", "y", "b"]
+    with pytest.raises(Exception, match="null"):
+        export.prediction_table(tagged, F.lit(None).cast("double")).collect()

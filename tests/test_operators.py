@@ -152,7 +152,7 @@ def test_positions_and_running_totals(spark):
 
 
 def test_components(a):
-    assert len(standard().held) == 28
+    assert len(standard().held) == 46
     r = Registry()
     r.add("x/double")(lambda df, c: df.withColumn(c, F.col(c) * 2))
     assert r.run({"component": "x/double", "params": {"c": "y"}}, a).filter("y = 2").count() == 2
