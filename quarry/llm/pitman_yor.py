@@ -34,13 +34,15 @@ from .store import keep
 
 #: The bound of the table that is sent to every task.
 FREQUENT = 1 << 19
-SYMBOLS = 1 << 15
+SYMBOLS = 1 << 14
 #: Tokens that have a context restaurant; one more serves what stands before the first of them.
 TOP = 64
 CONTEXTS = TOP + 1
 DISCOUNT, STRENGTH = 0.75, 5.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.5, 1.0
 SWEEPS, BURN_IN = 12, 4
+#: Customers of a dish up to which its tables are told apart; of larger ones their number is drawn anew in each sweep.
+SINGLE = 4096
 #: Bytes of the contexts that spell words, the shorter ones parents of the longer, and their discount.
 ORDERS = (2, 4)
 SPELL_DISCOUNT = 0.5
@@ -102,28 +104,90 @@ def tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarra
     return keys[at], np.add.reduceat(counts, at)
 
 
+class Tally:
+    """Counts of a task, merged whenever MERGE entries wait; ``take`` gives and forgets them."""
+
+    MERGE = 2_000_000
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.parts.append(tally(keys))
+        self.waiting += len(self.parts[-1][0])
+        if self.waiting > self.MERGE:
+            self.parts, self.waiting = [self.merged()], 0
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        return tally(*(np.concatenate(x) for x in zip(*self.parts)))
+
+    def full(self) -> bool:
+        return bool(self.parts) and len(self.parts[0][0]) > self.MERGE
+
+    def take(self) -> tuple[np.ndarray, np.ndarray] | None:
+        out = self.merged() if self.parts else None
+        self.parts, self.waiting = [], 0
+        return out
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """(key, n): how often each token stands, by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Tally()
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            if found := held.take():
+                yield pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1].astype(np.int64))], ["key", "n"])
+
         for batch in batches:
-            parts = [tally(token_stream(block)[0]) for _, block in scan.blocks(batch.column("text"), lower=True)]
-            if parts:
-                key, n = tally(*(np.concatenate(x) for x in zip(*parts)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+            for _, block in scan.blocks(batch.column("text"), lower=True):
+                held.add(token_stream(block)[0])
+            if held.full():
+                yield from rows()
+        yield from rows()
+        scan.release()
 
     return keep(texts.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
 
 
+class Figures:
+    """Training tokens, distinct ones, those that stand once and twice, and the least counts of the frequent words and the symbols.
+
+    They come from the number of words of each count; counts over 4096 are taken together by sixteenths
+    of a doubling, so there are some thousand rows at most.
+    """
+
+    def __init__(self, counts: DataFrame, frequent: int):
+        level = F.when(F.col("n") < 4096, F.col("n")).otherwise(4096 + F.floor(F.log2("n") * 16))
+        rows = counts.groupBy(level.alias("level")).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).collect()
+        self.train_tokens, self.distinct = sum(r["tokens"] for r in rows), sum(r["words"] for r in rows)
+        number = {r["level"]: r["words"] for r in rows}
+        self.once, self.twice = number.get(1, 0), number.get(2, 0)
+        self.frequent, self.symbol = (self._least(rows, most) for most in (frequent, SYMBOLS - 1))
+
+    @staticmethod
+    def _least(rows: list, most: int) -> int:
+        least, total = 1 << 62, 0
+        for r in sorted(rows, key=lambda r: -r["least"]):
+            total += r["words"]
+            if total > most:
+                break
+            least = r["least"]
+        return least
+
+
 class Table:
-    """The most frequent tokens: ``keys`` sorted, with ``count`` and ``symbol`` (SYMBOLS: one of the others)."""
+    """The most frequent tokens: ``keys`` sorted, with ``count`` and ``symbol`` (SYMBOLS: none of its own). The end of a text is one always."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.lexsort((keys.view(np.int64), -counts))
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, least: int):
+        own = (counts >= least) | (keys == END)
+        order = np.lexsort((keys, -counts, ~own))
         rank = np.empty(len(keys), np.int32)
         rank[order] = np.arange(len(keys), dtype=np.int32)
         up = np.argsort(keys)
-        self.keys, self.count, self.symbol = keys[up], counts[up], np.minimum(rank[up], SYMBOLS)
+        self.keys, self.count, self.symbol = keys[up], counts[up], np.where(own, rank, SYMBOLS)[up].astype(np.int32)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Whether each hash is here, its count (else 0) and its symbol."""
@@ -150,20 +214,28 @@ def count_contexts(texts: DataFrame, table) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [Tally() for _ in range(1 + len(ORDERS))]
+
+        def rows(kind: int) -> Iterator[pa.RecordBatch]:
+            if found := held[kind].take():
+                code, n = found
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), kind, np.int32)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "code", "n"])
+
         for batch in batches:
-            parts: list[list] = [[] for _ in range(1 + len(ORDERS))]
             for _, block in scan.blocks(batch.column("text"), lower=True):
                 hashes, first, last, counts = token_stream(block)
                 symbol = table.value.find(hashes)[2]
-                parts[0].append(tally(contexts(symbol, counts) * (SYMBOLS + 1) + symbol))
+                held[0].add(contexts(symbol, counts) * (SYMBOLS + 1) + symbol)
                 words = np.flatnonzero((symbol == SYMBOLS) & (last > first))
                 words = words[np.unique(hashes[words], return_index=True)[1]]
                 for kind, codes in enumerate(spelling(block, first[words], last[words])[0], 1):
-                    parts[kind].append(tally(codes))
-            for kind, found in enumerate(parts):
-                if found:
-                    code, n = tally(*(np.concatenate(x) for x in zip(*found)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), kind, np.int32)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["kind", "code", "n"])
+                    held[kind].add(codes)
+            for kind in range(len(held)):
+                if held[kind].full():
+                    yield from rows(kind)
+        for kind in range(len(held)):
+            yield from rows(kind)
+        scan.release()
 
     return texts.select("text").mapInArrow(run, "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
@@ -184,50 +256,56 @@ def sample(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, sweeps: int =
     """The averaged predictive probability (CONTEXTS, SYMBOLS + 1) after Gibbs sampling of the seating.
 
     ``n`` customers ate dish ``symbol`` in restaurant ``context``; there are at most
-    CONTEXTS * (SYMBOLS + 1) such triples, whatever the corpus.
+    CONTEXTS * (SYMBOLS + 1) such triples, each once, whatever the corpus.
     """
-    rng, width, dishes = np.random.default_rng(seed), SYMBOLS + 1, len(n)
+    rng, width = np.random.default_rng(seed), SYMBOLS + 1
     guests = np.bincount(context, n, minlength=CONTEXTS)
     root = np.bincount(symbol, n, minlength=width) + 1.0
     root /= root.sum()
-    opened = open_tables(n, root[symbol], np.bincount(context, minlength=CONTEXTS)[context].astype(float), DISCOUNT, STRENGTH, rng)
-    dish = np.repeat(np.arange(dishes), opened)  # of each table
-    size = np.ones(len(dish), np.int64)
-    size[np.cumsum(opened) - opened] += n - opened
+    small = n <= SINGLE
+    context_, symbol_, n_ = context[small], symbol[small], n[small]  # the dishes whose tables are told apart
+    dishes = len(n_)
+    tables = open_tables(n, root[symbol], np.bincount(context, minlength=CONTEXTS)[context].astype(float), DISCOUNT, STRENGTH, rng)
+    opened = tables[small]
+    dish = np.repeat(np.arange(dishes, dtype=np.int32), opened)  # of each table
+    size = np.ones(len(dish), np.int32)
+    size[np.cumsum(opened) - opened] += (n_ - opened).astype(np.int32)
     mean, kept = np.zeros((CONTEXTS, width)), 0
     for sweep in range(sweeps):
         # the parent: a customer for each table below, seated anew
-        below = np.bincount(symbol[dish], minlength=width)
+        below = np.bincount(symbol, tables, minlength=width).astype(np.int64)
         own = open_tables(below, np.full(width, 1 / width), np.full(width, float((below > 0).sum())), ROOT_DISCOUNT, ROOT_STRENGTH, rng)
         root = (below - ROOT_DISCOUNT * own + (ROOT_STRENGTH + ROOT_DISCOUNT * own.sum()) / width) / (ROOT_STRENGTH + below.sum())
+        total = np.bincount(context, tables, minlength=CONTEXTS)
+        if not small.all():
+            tables[~small] = open_tables(n[~small], root[symbol[~small]], total[context[~small]], DISCOUNT, STRENGTH, rng)
         if dishes:
             # one customer of every dish leaves a table, chosen by its size
             last = np.cumsum(size)
-            before = np.concatenate(([0], np.cumsum(n)[:-1]))
-            left = np.searchsorted(last, before + rng.integers(0, n), "right")
+            before = np.concatenate(([0], np.cumsum(n_)[:-1]))
+            left = np.searchsorted(last, before + rng.integers(0, n_), "right")
             size[left] -= 1
             dish, size = dish[size > 0], size[size > 0]
-            tables = np.bincount(dish, minlength=dishes)
-            total = np.bincount(context, tables, minlength=CONTEXTS)[context]
-            new = (STRENGTH + DISCOUNT * total) * root[symbol]
-            opens = rng.random(dishes) * (new + n - 1 - DISCOUNT * tables) < new
-            opens |= tables == 0
+            held = np.bincount(dish, minlength=dishes)
+            new = (STRENGTH + DISCOUNT * total[context_]) * root[symbol_]
+            opens = rng.random(dishes) * (new + n_ - 1 - DISCOUNT * held) < new
+            opens |= held == 0
             # and sits down at a new table, or at one chosen by its size less the discount
             upto = np.cumsum(size - DISCOUNT)
-            end = np.cumsum(tables)
+            end = np.cumsum(held)
             stays = np.flatnonzero(~opens)
-            start = np.where(end > tables, upto[np.maximum(end - tables - 1, 0)], 0.0)
-            goal = start[stays] + rng.random(len(stays)) * (n[stays] - 1 - DISCOUNT * tables[stays])
-            np.add.at(size, np.clip(np.searchsorted(upto, goal, "right"), (end - tables)[stays], end[stays] - 1), 1)
-            dish = np.concatenate((dish, np.flatnonzero(opens)))
-            size = np.concatenate((size, np.ones(int(opens.sum()), np.int64)))
+            start = np.where(end > held, upto[np.maximum(end - held - 1, 0)], 0.0)[stays]
+            goal = start + rng.random(len(stays)) * (n_[stays] - 1 - DISCOUNT * held[stays])
+            size[np.clip(np.searchsorted(upto, goal, "right"), (end - held)[stays], end[stays] - 1)] += 1
+            dish = np.concatenate((dish, np.flatnonzero(opens).astype(np.int32)))
+            size = np.concatenate((size, np.ones(int(opens.sum()), np.int32)))
             order = np.argsort(dish, kind="stable")
             dish, size = dish[order], size[order]
+            tables[small] = np.bincount(dish, minlength=dishes)
         if sweep >= burn_in:
-            tables = np.bincount(dish, minlength=dishes)
             total = np.bincount(context, tables, minlength=CONTEXTS)
             now = ((STRENGTH + DISCOUNT * total)[:, None] * root) / (STRENGTH + guests)[:, None]
-            np.add.at(now, (context, symbol), (n - DISCOUNT * tables) / (STRENGTH + guests)[context])
+            now[context, symbol] += (n - DISCOUNT * tables) / (STRENGTH + guests)[context]
             mean += now
             kept += 1
     return mean / max(kept, 1)
@@ -236,14 +314,15 @@ def sample(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, sweeps: int =
 class Model:
     """What every task gets: the bounded tables."""
 
-    def __init__(self, table: Table, figures: tuple[int, int, int, int], codes):
-        """``figures``: training tokens, distinct ones, and those that stand once and twice. ``codes``: kind, code and n."""
-        self.train_tokens, self.distinct, ones, twos = figures
+    def __init__(self, table: Table, figures: Figures, codes: pa.Table):
+        """``codes``: kind, code and n."""
+        self.train_tokens, self.distinct, ones, twos = figures.train_tokens, figures.distinct, figures.once, figures.twice
         self.others = self.train_tokens - int(table.count[table.symbol < SYMBOLS].sum())
         self.other_words = self.distinct - int((table.symbol < SYMBOLS).sum())
         self.discount = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones and twos else 0.5
-        codes = codes.sort_values(["kind", "code"])
-        of = lambda kind: (codes.loc[codes["kind"] == kind, c].to_numpy(np.int64) for c in ("code", "n"))
+        codes = codes.sort_by([("kind", "ascending"), ("code", "ascending")])
+        ends = np.searchsorted(codes["kind"].to_numpy(), np.arange(len(ORDERS) + 2))
+        of = lambda kind: (codes[c].slice(ends[kind], ends[kind + 1] - ends[kind]).to_numpy() for c in ("code", "n"))
         self.orders = [self.order(*of(kind)) for kind in range(1, 1 + len(ORDERS))]
         code, n = of(0)
         self.symbol = np.log10(sample(code // (SYMBOLS + 1), code % (SYMBOLS + 1), n)).astype(np.float32)
@@ -282,17 +361,17 @@ class Model:
 def score(docs: DataFrame, out: Column, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document; those of ``out`` are not learned from."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text", out.alias("held_out"))
+    docs = scan.bounded(docs).select("doc_id", "text", out.alias("held_out"))
     train = docs.filter("NOT held_out")
     counts = count_words(train)
-    most = counts.orderBy(F.desc("n"), "key").limit(frequent).select("key", "n").toPandas()
-    table = Table(most["key"].to_numpy(np.int64).view(np.uint64), most["n"].to_numpy(np.int64))
+    figures = Figures(counts, frequent)
+    most = counts.filter((F.col("n") >= figures.frequent) | (F.col("key") == int(END.view(np.int64)))).select("key", "n").toArrow()  # ``frequent`` rows and one at most
+    table = Table(most["key"].to_numpy().view(np.uint64), most["n"].to_numpy(), figures.symbol)
+    del most
     sent = spark.sparkContext.broadcast(table)
-    figure = lambda k: F.coalesce(F.sum((F.col("n") == k).cast("long")), F.lit(0))
-    figures = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), figure(1), figure(2)).first()
     # at most CONTEXTS * (SYMBOLS + 1) codes of kind 0 and 2^24 of each other kind
-    model = Model(table, tuple(int(x) for x in figures), count_contexts(train, sent).toPandas())
-    whole = len(table.keys) < frequent  # then every trained word is in the table
+    model = Model(table, figures, count_contexts(train, sent).toArrow())
+    whole = len(table.keys) == figures.distinct  # then every trained word is in the table
     told = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,6 +400,7 @@ def score(docs: DataFrame, out: Column, frequent: int = FREQUENT) -> DataFrame:
                     ], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "value", "rare"],
                 )
                 row += block.n
+        scan.release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = keep(docs.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, value double, rare array<struct<key:bigint,spelled:double>>"), "parts")

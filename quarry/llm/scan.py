@@ -7,10 +7,12 @@ sum(R[b_j] * P^(j - start)) mod 2^64 of the bytes, mixed; equal byte strings hav
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes of text that are scanned together; one longer text makes a block of its own.
 BLOCK = 1_000_000
@@ -110,3 +112,18 @@ def per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
         begin = (np.cumsum(counts) - counts)[counts > 0]
         out[counts > 0] = np.add.reduceat(values.astype(out.dtype, copy=False), begin)
     return out
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, after the session is told to send texts to Python in batches of bytes, not of rows, so that long texts don't add up."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
+def release() -> None:
+    """Give memory that a task no longer needs back to the machine; the worker stays for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
