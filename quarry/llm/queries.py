@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat": chat.ORACLE}
+    return {"op7_chat": chat.ORACLE, "op10_warc": warc.ORACLE}

@@ -25,9 +25,10 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import bounded, release
 from .store import keep
 
 #: Bytes of records of one archive; a longer record has an archive of its own.
@@ -62,10 +63,13 @@ def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None
 
 def inflate(chunks: Iterable[bytes]) -> Iterator[bytes]:
     """The plain bytes of a gzip file of one or more members, or of a file that is not compressed."""
-    tool, fresh, plain = zlib.decompressobj(31), True, None
+    tool, fresh, plain, head = zlib.decompressobj(31), True, None, b""
     for chunk in chunks:
-        if plain is None and chunk:
-            plain = not chunk.startswith(b"\x1f\x8b")
+        if plain is None:
+            chunk = head = head + chunk
+            if len(head) < 2:
+                continue
+            plain = not head.startswith(b"\x1f\x8b")
         if plain:
             yield chunk
             continue
@@ -79,6 +83,8 @@ def inflate(chunks: Iterable[bytes]) -> Iterator[bytes]:
             fresh = False
             yield out
             chunk = tool.unused_data
+    if plain is None:
+        yield head
     if plain is False and not tool.eof and not fresh:
         raise WarcError("the gzip stream is cut off")
 
@@ -161,12 +167,15 @@ def read_record(member: bytes) -> tuple[int | None, int, str, str, int | None]:
     return number("warc-record-id"), size, found, head["warc-type"], number("warc-refers-to")
 
 
+def _payload() -> Column:
+    return F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+
+
 def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload a page with a larger page_id has too."""
-    data = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    own = keep(pages.select("page_id", F.sha1(data).alias("sha1"), F.length(data).alias("bytes")).filter(F.col("bytes") >= least), "digests")
+    """(page_id, sha1, refers_to) of the pages whose payload a page with a larger page_id has too."""
+    own = keep(pages.select("page_id", F.sha1(_payload()).alias("sha1"), F.length(_payload()).alias("bytes")).filter(F.col("bytes") >= least), "digests")
     many = own.groupBy("sha1", "bytes").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return own.join(many, ["sha1", "bytes"]).filter("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return own.join(many, ["sha1", "bytes"]).filter("page_id < refers_to").select("page_id", "sha1", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, size: int = ARCHIVE, level: int = 1) -> DataFrame:
@@ -192,8 +201,9 @@ def write_archives(pages: DataFrame, size: int = ARCHIVE, level: int = 1) -> Dat
                 held += len(data)
         if held:
             yield close()
+        release()
 
-    rows = pages.select("page_id", "url", "html").join(revisits(pages), "page_id", "left")
+    rows = bounded(pages).select("page_id", "url", "html", F.sha1(_payload()).alias("sha1")).join(revisits(pages), ["page_id", "sha1"], "left")
     return keep(rows.select("page_id", "url", "html", "refers_to").mapInArrow(run, "archive string, content binary"), "archives")
 
 
@@ -236,3 +246,14 @@ def export(archives: DataFrame, folder: str) -> None:
 
     Path(folder).mkdir(parents=True, exist_ok=True)
     archives.foreachPartition(run)
+
+
+#: The query's rows in DuckDB's SQL; five hexadecimal digits of a digest are four of base 32.
+ORACLE = """
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS last FROM d),
+b AS (SELECT *, [CAST('0x' || substr(x, CAST(5 * g + 1 AS INT), 5) AS INT) FOR g IN range(8)] AS v FROM k)
+SELECT page_id, payload_bytes, list_aggregate([list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> s) & 31) + 1, 1) FOR s IN [15, 10, 5, 0]], 'string_agg', '') FOR n IN v], 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM b
+"""
