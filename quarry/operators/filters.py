@@ -1,4 +1,7 @@
-"""Filters with two outputs: the rows that hit, and all others. A null predicate is no hit."""
+"""Filters with two outputs: the rows that hit, and all others. A null predicate is no hit.
+
+The hitting side is a plain predicate, so that scans get it; only the other side needs null made false.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +16,7 @@ EPSILON = 1e-6
 
 
 def predicate(df: DataFrame, column: str, comparator: str, bound: str | None = None, epsilon: float = EPSILON) -> Column:
-    """``comparator``: ==, <, <=, >, >=, IN or NOTNULL; ``bound`` is text, comma-separated for IN. Floats are equal within ``epsilon``."""
+    """True for a hit; else false or null. ``comparator``: ==, <, <=, >, >=, IN or NOTNULL; ``bound`` is text, comma-separated for IN. Floats are equal within ``epsilon``."""
     require(df, column)
     c, kind = F.col(column), dict(df.dtypes)[column]
     if comparator == "NOTNULL":
@@ -24,20 +27,20 @@ def predicate(df: DataFrame, column: str, comparator: str, bound: str | None = N
     except ValueError as e:
         raise ValueError(f"bound {bound!r} is no {kind}") from e
     if comparator in ("==", "IN"):
-        same = [(F.abs(c - v) <= epsilon) & ~F.isnan(c) if is_float(df, column) else c == v for v in literals]
-        return F.coalesce(reduce(lambda a, b: a | b, same), F.lit(False))
+        if not is_float(df, column):
+            return c.isin(literals)
+        near = [(c >= v - 2 * epsilon) & (c <= v + 2 * epsilon) & (F.abs(c - v) <= epsilon) for v in literals]  # the bounds are for the scan
+        return reduce(lambda a, b: a | b, near)
     v = literals[0]
     plain = {"<": c < v, "<=": c <= v, ">": c > v, ">=": c >= v}
     if comparator not in plain:
         raise ValueError(f"unknown comparator {comparator}")
-    hit = plain[comparator]
-    return F.coalesce(hit & ~F.isnan(c) if is_float(df, column) else hit, F.lit(False))
+    return plain[comparator] & ~F.isnan(c) if is_float(df, column) else plain[comparator]
 
 
 def split(df: DataFrame, hit: Column, check: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows that hit and the others; with ``check`` an empty side is an error."""
-    hit = F.coalesce(hit, F.lit(False))
-    sides = df.filter(hit), df.filter(~hit)
+    sides = df.filter(hit), df.filter(~F.coalesce(hit, F.lit(False)))
     if check and any(s.isEmpty() for s in sides):
         raise ValueError("one side of the filter is empty")
     return sides

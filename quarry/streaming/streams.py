@@ -29,7 +29,7 @@ def apply_rules(stream: DataFrame, *rules: Rule) -> DataFrame:
 def condition(stream: DataFrame, column: str, comparator: str, bound: str | None = None, other: bool = False) -> DataFrame:
     """The rows that hit, or the ``other`` ones."""
     hit = predicate(stream, column, comparator, bound)
-    return stream.filter(~hit if other else hit)
+    return stream.filter(~F.coalesce(hit, F.lit(False)) if other else hit)
 
 
 def tumbling(stream: DataFrame, time: str, width: str, by: list[str], late: str = "10 minutes", slide: str | None = None, **aggregates) -> DataFrame:
@@ -58,7 +58,7 @@ def split_batches(stream: DataFrame, column: str, comparator: str, bound: str |
         batch = batch.persist()
         p = predicate(batch, column, comparator, bound)
         batch.filter(p).write.mode("overwrite").parquet(f"{hit_path}/epoch={epoch}")
-        batch.filter(~p).write.mode("overwrite").parquet(f"{else_path}/epoch={epoch}")
+        batch.filter(~F.coalesce(p, F.lit(False))).write.mode("overwrite").parquet(f"{else_path}/epoch={epoch}")
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

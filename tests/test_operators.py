@@ -162,3 +162,14 @@ def test_components(a):
         r.add("plain")
     hit, _ = standard().run({"component": "data_filter/condition_filter", "params": {"column": "y", "comparator": "==", "bound": "1"}}, a)
     assert hit.count() == 2 and r.load_plugins() == []
+
+
+def test_scans_get_predicates_and_columns(spark, tmp_path):
+    spark.range(100).select("id", F.col("id").cast("double").alias("v"), F.col("id").cast("string").alias("s"), F.lit(1).alias("unused")).write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(v,30.0)" in plan(filters.condition_filter(t, "v", ">=", "30")[0])
+    assert "GreaterThanOrEqual(v,2.999" in plan(filters.condition_filter(t, "v", "==", "3")[0])
+    assert "In(s, [3,4])" in plan(filters.condition_filter(t, "s", "IN", "3,4")[0])
+    assert "unused" not in plan(groupby.group_statistics(t, ["s"], [("v", "sum")], check=False))
+    assert "BroadcastHashJoin" in plan(joins.unbalanced_psi(t.select("id"), t.select("v"), ["id"], ["v"], sort=False))
