@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cut import cut
+
 
 def with_position(df: DataFrame, name: str = "_rid") -> DataFrame:
     """``df`` with each row's position from 0, gapless, in the order of its partitions.
@@ -26,7 +28,8 @@ def _ranges(df: DataFrame, order: list[Column], partitions: int | None) -> tuple
     names = [f"_k{i}" for i in range(len(order))]
     partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.select("*", *(c.alias(n) for c, n in zip(order, names)))
-    return keyed.repartitionByRange(partitions, *(F.col(n) for n in names)).withColumn("_part", F.spark_partition_id()).persist(), names
+    ranged = keyed.repartitionByRange(partitions, *(F.col(n) for n in names)).withColumn("_part", F.spark_partition_id())
+    return cut(ranged, "ranges"), names  # written, as another run of the plan could draw other borders
 
 
 def carry(df: DataFrame, order: list[Column], columns: list[str], forward: bool = True, partitions: int | None = None) -> DataFrame:
