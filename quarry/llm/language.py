@@ -34,7 +34,7 @@ SWITCH = 12.0
 #: Share of a language's letters from which a script counts as its own.
 SCRIPT_SHARE = 0.002
 #: Bytes of text that are decoded together.
-BLOCK = 4_000_000
+BLOCK = 3_000_000
 
 # First and last code point of the blocks of each script, from Unicode's Blocks.txt.
 SCRIPTS = {
@@ -78,12 +78,17 @@ def grams(block: scan.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     inside = scan.WORD[block.buf]
     bordered = np.full(2 * len(begin) + int(inside.sum()) + 1, 0x20, np.uint8)  # each word with a blank on both sides
     sizes = end - begin
+    small = np.int32 if len(bordered) < 1 << 31 else np.int64  # positions, which take most of the memory
     first = np.cumsum(sizes + 2) - sizes - 1
-    spot = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    spot = np.repeat((first - (np.cumsum(sizes) - sizes)).astype(small), sizes)
+    spot += np.arange(len(spot), dtype=small)
     bordered[spot] = block.buf[inside]
-    code = bordered[spot - 1].astype(np.uint32) << 16 | bordered[spot].astype(np.uint32) << 8 | bordered[spot + 1]
-    bucket = (code * np.uint32(2654435761)) >> np.uint32(16)
-    scripts = _SCRIPT[bordered[spot].astype(np.uint32) << 8 | bordered[spot + 1]]
+    code = bordered[spot].astype(np.uint32) << 8 | bordered[spot + 1]
+    scripts = _SCRIPT[code]
+    code |= bordered[spot - 1].astype(np.uint32) << 16
+    del spot
+    code *= np.uint32(2654435761)
+    bucket = code >> np.uint32(16)
     at = np.cumsum(sizes) - sizes
     return bucket.astype(np.int32), at, sizes, counts, np.maximum.reduceat(scripts, at) if len(at) else np.zeros(0, np.uint8)
 
@@ -116,8 +121,9 @@ def learn(examples: DataFrame) -> dict:
                     sums[k, BUCKETS:] += np.bincount(script[of == k], minlength=256)
         k, at = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(sums[k, at])], ["lang", "at", "n"])
+        scan.release()
 
-    rows = examples.mapInArrow(count, "lang int, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
+    rows = scan.bounded(examples).mapInArrow(count, "lang int, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     sums = np.zeros((len(names), wide))
     sums[rows["lang"], rows["at"]] = rows["n"]
     seen, scripts = sums[:, :BUCKETS], sums[:, BUCKETS:]
@@ -215,9 +221,10 @@ def identify(docs: DataFrame, model: dict, switch: float = SWITCH, spans: bool =
                 if spans:
                     columns.append(pa.array([s if k >= 0 else [] for s, k in zip(_spans(model["names"], labels, counts) if model["names"] else [[]] * block.n, lang)], kind))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "spans"][: len(columns)])
+        scan.release()
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double"
-    return docs.select("doc_id", "text").mapInArrow(run, schema + (", spans array<struct<lang:string,first_word:bigint,words:bigint>>" if spans else ""))
+    return scan.bounded(docs).select("doc_id", "text").mapInArrow(run, schema + (", spans array<struct<lang:string,first_word:bigint,words:bigint>>" if spans else ""))
 
 
 def keep_identified(docs: DataFrame, model: dict, least: float = 0.5, switch: float = SWITCH) -> DataFrame:
@@ -228,8 +235,9 @@ def keep_identified(docs: DataFrame, model: dict, least: float = 0.5, switch: fl
             good = [(lang >= 0) & (score >= least) for _, _, lang, score, _, _ in _all(batch, model, switch)]
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))
+        scan.release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return scan.bounded(docs).mapInArrow(run, docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

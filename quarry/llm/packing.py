@@ -25,13 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
+
 LENGTH = 1024
 #: Documents that may meet in one sequence.
 SEGMENTS = 64
 #: Items that are placed together.
 WINDOW = 2048
 #: Distinct stretches of which a worker remembers the ids, in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 _DOUBLE = re.compile(r" \s")
 
@@ -203,7 +205,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, length: in
                 yield from flush()
         packer.place(True)
         yield from flush()
+        scan.release()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     kind_name = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind_name}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return scan.bounded(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind_name}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -57,6 +57,7 @@ def _counter(trusted: np.ndarray, buckets: int):
                     target += np.bincount(one[chosen], minlength=buckets) + np.bincount(two[inside & chosen[:-1]], minlength=buckets)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
+        scan.release()
 
     return count
 
@@ -67,8 +68,8 @@ def fit(docs: DataFrame, trusted: np.ndarray, buckets: int = BUCKETS) -> np.ndar
     Every task sends at most ``buckets`` sums, and the driver gets at most ``buckets`` rows.
     """
     sums = (
-        docs.select("doc_id", "text").mapInArrow(_counter(np.unique(trusted), buckets), "bucket long, raw long, target long")
-        .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+        scan.bounded(docs).select("doc_id", "text").mapInArrow(_counter(np.unique(trusted), buckets), "bucket long, raw long, target long")
+        .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow().to_pandas()
     )
     raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[sums["bucket"]], target[sums["bucket"]] = sums["raw"], sums["target"]
@@ -138,9 +139,10 @@ def assess(docs: DataFrame, table: np.ndarray, cut: float) -> DataFrame:
             if batch.num_rows:
                 got = _all(batch, table, cut)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(got[k]) for k in names)], ["doc_id", *names])
+        scan.release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
+    return scan.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
 
 
 def keep_documents(docs: DataFrame, table: np.ndarray, cut: float) -> DataFrame:
@@ -150,8 +152,9 @@ def keep_documents(docs: DataFrame, table: np.ndarray, cut: float) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(_all(batch, table, cut)["kept"]))
+        scan.release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return scan.bounded(docs).mapInArrow(run, docs.schema)
 
 
 def labelled(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
@@ -177,9 +180,9 @@ def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
 
 def learn(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, bound: int = LABELLED) -> tuple[np.ndarray, float]:
     """The log ratios and the threshold for ``docs``; trusted are the labelled documents of quality 1."""
-    sample = labelled(labels, bound).toPandas()
+    sample = labelled(labels, bound).toArrow().to_pandas()
     table = fit(docs, sample.loc[sample["quality"] == 1, "doc_id"].to_numpy(np.int64), buckets)
     known = docs.sparkSession.createDataFrame(sample, "doc_id long, quality int")
     rows = assess(docs.join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_semi"), table, float("-inf"))
-    got = rows.filter("NOT base_failed").select("doc_id", "score").toPandas().merge(sample, on="doc_id")
+    got = rows.filter("NOT base_failed").select("doc_id", "score").toArrow().to_pandas().merge(sample, on="doc_id")
     return table, best_cut(got["score"].to_numpy(), got["quality"].to_numpy() == 1)

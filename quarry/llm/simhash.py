@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
+from .scan import bounded, release
 from .store import keep
 
 SHINGLE = 3
@@ -61,8 +62,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             values = np.fromiter((fingerprint(x or b"", shingle) for x in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+        release()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _segment(fp: str, k: int) -> F.Column:

@@ -314,8 +314,8 @@ def text_features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for _, block in scan.blocks(batch.column("text"), size=1):
-                text = block.buf.tobytes()
+            for value in batch.column("text").cast(pa.large_binary()):
+                text = value.as_py() or b""
                 media = of_text(text)
                 (_, pixels, error), *rest = read(media)
                 if error or rest:
@@ -324,7 +324,8 @@ def text_features(docs: DataFrame) -> DataFrame:
                 rows.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(pixels)))
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in zip(*rows))], names)
+        scan.release()
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return scan.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
