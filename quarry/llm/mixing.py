@@ -9,7 +9,8 @@ cut into bins by source, so only one bin of a source is ever sorted.
 
 Defined results: a null text has size 0 and is taken 0 times, a null source is a source of its own,
 the last one; documents of equal rank are ordered by doc_id; repeated rows count each; an empty table
-gives an empty result; other columns are kept by ``mix``.
+gives an empty result; other columns are kept by ``mix``, but for those named size, source_size,
+target or taken, which it replaces.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ SHARE, CAP = 1.5, 2.0
 FAVOUR = 0.05
 #: Bins of a source's ranks.
 BINS = 4096
-#: The bound of the tables that go to the driver and are broadcast: 64 length classes of so many sources.
+#: The bound of what goes to the driver: 64 length classes of so many sources.
 MAX_SOURCES = 100_000
+#: Rows of that plan, of about 60 bytes, up to which it is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def words(text: Column) -> Column:
@@ -85,8 +88,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         certain = sum(math.floor(copies[k]) * n for k, n in of[name].items())
         plan += [(name, k, copies[k], size, float(goal), round(goal) - certain) for k in of[name]]
     kind = docs.schema["source"].dataType.simpleString()
-    plan = spark.createDataFrame(plan, f"_source {kind}, _class int, _copies double, source_size long, target double, _rest long")
-    plan = F.broadcast(plan)  # at most 64 * MAX_SOURCES rows
+    few = (lambda x: F.broadcast(x)) if len(plan) <= BROADCAST_ROWS else (lambda x: x)
+    plan = few(spark.createDataFrame(plan, f"_source {kind}, _class int, _copies double, source_size long, target double, _rest long"))
 
     def ranked(frame: DataFrame) -> DataFrame:
         out = frame.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (klass == F.col("_class")))
@@ -120,4 +123,4 @@ def copies(mixed: DataFrame, text: str = "text") -> DataFrame:
     part = F.array_join(F.slice(pieces, 1, rest.cast("int")), "")
     out = mixed.filter("taken > 0").withColumn("_copy", F.explode(whole))
     last = (F.col("_copy") == F.ceil(F.col("taken") / F.col("size"))) & (rest > 0)
-    return out.withColumn(text, F.when(last, F.rtrim(part)).otherwise(F.col(text)))
+    return out.withColumn(text, F.when(last, F.regexp_replace(part, r"[\x20\x09-\x0D]+$", "")).otherwise(F.col(text)))

@@ -1,4 +1,5 @@
 import collections
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,34 @@ def test_order_is_pareto(corpus):
         assert sum(1 for x in part if x) <= 1
 
 
+def test_many_sources_are_joined_without_a_broadcast(corpus, monkeypatch):
+    key = lambda r: (r.doc_id, r.taken)
+    want = sorted(map(key, mixing.mix(corpus).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted(map(key, mixing.mix(corpus).collect())) == want
+
+
+def test_selection_against_a_plain_sort(spark, corpus):
+    """The same hashes, sorted without bins."""
+    u = {r.doc_id: r.u for r in corpus.select("doc_id", ((F.shiftrightunsigned(F.xxhash64(F.lit(42), F.col("doc_id")), 11) + 0.5) / float(1 << 53)).alias("u")).collect()}
+    rows = mixing.mix(corpus).collect()
+    for source in {r.source for r in rows}:
+        part = [r for r in rows if r.source == source]
+        klass = {r.doc_id: int(math.log2(r.size + 1)) for r in part}
+        sizes = collections.Counter()
+        for r in part:
+            sizes[klass[r.doc_id]] += r.size
+        e = mixing.expected(sizes, part[0].target)
+        whole = {r.doc_id: math.floor(e[klass[r.doc_id]]) * r.size for r in part}
+        rest, want = round(part[0].target) - sum(whole.values()), dict(whole)
+        odds = lambda i: u[i] / (1 - u[i]) / ((p := e[klass[i]] % 1) / (1 - p))
+        for r in sorted((r for r in part if e[klass[r.doc_id]] % 1), key=lambda r: (odds(r.doc_id), r.doc_id)):
+            take = max(0, min(r.size, rest))
+            want[r.doc_id] += take
+            rest -= take
+        assert {r.doc_id: r.taken for r in part} == want
+
+
 def test_copies(spark, corpus, empty):
     mixed = mixing.mix(corpus)
     out = mixing.copies(mixed).select("doc_id", "text").collect()
