@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.cut import cut
+from ..plans.ordered import running
 from ..schema import known, numeric_columns, require
 
 
-def _moments(c: Column) -> tuple[Column, Column]:
-    return F.count(c).cast("double"), c
-
-
 def skew(c: Column) -> Column:
     """Bias-corrected; null for under three values."""
     n = F.count(c).cast("double")
@@ -51,6 +50,28 @@ def quantile(df: DataFrame, q: list[float], columns: list[str] | None = None) ->
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def quantile_by_counts(df: DataFrame, column: str, q: list[float]) -> dict[float, float | None]:
+    """As ``quantile`` for one column with any number of distinct values: counted by value, summed up by ranges.
+
+    Only the two values around each quantile reach the driver.
+    """
+    counts = df.select(known(df, column).cast("double").alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    upto = cut(running(counts, [F.col("value")], {"upto": F.col("n")}), "quantiles")
+    total = upto.agg(F.max("upto")).first()[0]
+    if not total:
+        return dict.fromkeys(q)
+    spots = sorted({f(x * (total - 1)) for x in q for f in (math.floor, math.ceil)})
+    hit = reduce(lambda a, b: a | b, ((F.col("upto") > i) & (F.col("upto") - F.col("n") <= i) for i in spots))
+    rows = upto.filter(hit).collect()
+    at = lambda i: next(r["value"] for r in rows if r["upto"] - r["n"] <= i < r["upto"])
+    out = {}
+    for x in q:
+        p = x * (total - 1)
+        low, high = at(math.floor(p)), at(math.ceil(p))
+        out[x] = low + (high - low) * (p - math.floor(p))
+    return out
+
+
 def value_counts(df: DataFrame, column: str, normalize: bool = False) -> DataFrame:
     """(value, count), most frequent first, smaller values first on ties; null and NaN are left out."""
     rows = df.select(known(df, column).alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("count"))

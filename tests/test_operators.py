@@ -83,6 +83,16 @@ def test_column_stats_like_pandas(spark):
     assert none["sum"] == 0 and none["mean"] is None and none["skew"] is None
 
 
+def test_quantiles_by_counts(spark):
+    x = [3.0, 1.0, 1.0, None, 7.0, float("nan"), 2.5, 2.5, 2.5, 10.0]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    q = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    want = pd.Series(x, dtype=float).quantile(q)
+    assert list(aggregates.quantile_by_counts(df, "x", q).values()) == pytest.approx(want.tolist())
+    assert [r.value for r in aggregates.quantile(df, q, ["x"]).collect()] == pytest.approx(want.tolist())
+    assert aggregates.quantile_by_counts(df.limit(0), "x", [0.5]) == {0.5: None}
+
+
 def test_noise_is_around_the_sum(spark):
     part = spark.range(200).select((F.col("id") % 2).alias("key"), F.lit(1.0).alias("x"))
     rows = aggregates.noisy_combine([part, part], "x", 0.1).collect()
