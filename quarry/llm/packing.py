@@ -168,8 +168,8 @@ class Packer:
         self.start, self.tokens, self.loss = (x[rest].tolist() for x in (start, tokens, loss))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, with_ids: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and on demand its ids.
 
     Every token but a document's first bears loss. ``vocabulary`` is the path of a tokenizers file.
     """
@@ -182,9 +182,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, length: in
 
         def flush() -> Iterator[pa.RecordBatch]:
             if packer.out:
-                rows = [(held[k][0], a, n, zlib.crc32(memoryview(held[k][1])[4 * a : 4 * (a + n)]), len(held[k][1]) // 4, s, o) for k, a, n, s, o in packer.out]
-                packer.out.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (kind, *(pa.int64(),) * 6))], names)
+                pieces, packer.out = packer.out, []
+                rows = [(held[k][0], a, n, zlib.crc32(memoryview(held[k][1])[4 * a : 4 * (a + n)]), len(held[k][1]) // 4, s, o) for k, a, n, s, o in pieces]
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (kind, *(pa.int64(),) * 6))]
+                if with_ids:
+                    columns.append(pa.array([np.frombuffer(held[k][1], "<i4", n, 4 * a) for k, a, n, _, _ in pieces], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names)
             waiting = set(packer.keys)
             for k in [k for k in held if k not in waiting]:
                 del held[k]
@@ -207,6 +210,6 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, length: in
         yield from flush()
         scan.release()
 
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
     kind_name = docs.schema["doc_id"].dataType.simpleString()
-    return scan.bounded(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind_name}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return scan.bounded(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind_name}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)

@@ -61,6 +61,11 @@ def test_documents(tool, corpus, awkward, empty):
     assert packing.pack_documents(empty, VOCABULARY).count() == 0
 
 
+def test_ids_of_the_pieces(corpus):
+    for r in packing.pack_documents(corpus.limit(20), VOCABULARY, with_ids=True).collect():
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+
+
 def test_limits_of_all_kinds():
     rng = random.Random(4)
     packer = packing.Packer(0, 100, 4, 60)
