@@ -33,6 +33,8 @@ from .store import keep
 
 #: Bytes of records of one archive; a longer record has an archive of its own.
 ARCHIVE = 8_000_000
+#: Revisits, of about 100 bytes each, up to which they are broadcast to the pages.
+BROADCAST_ROWS = 100_000
 #: Payloads from so many bytes on are told apart by digest.
 LEAST = 0
 
@@ -203,7 +205,9 @@ def write_archives(pages: DataFrame, size: int = ARCHIVE, level: int = 1) -> Dat
             yield close()
         release()
 
-    rows = bounded(pages).select("page_id", "url", "html", F.sha1(_payload()).alias("sha1")).join(revisits(pages), ["page_id", "sha1"], "left")
+    again = keep(revisits(pages), "revisits")
+    few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # else the join shuffles the pages
+    rows = bounded(pages).select("page_id", "url", "html", F.sha1(_payload()).alias("sha1")).join(F.broadcast(again) if few else again, ["page_id", "sha1"], "left")
     return keep(rows.select("page_id", "url", "html", "refers_to").mapInArrow(run, "archive string, content binary"), "archives")
 
 

@@ -35,8 +35,9 @@ def test_faults():
     assert warc.normalise([]) == (b"", [])
 
 
-@pytest.mark.parametrize("size", [300, warc.ARCHIVE])
-def test_pages(spark, tmp_path, size):
+@pytest.mark.parametrize(("size", "most"), [(300, 0), (warc.ARCHIVE, 100)])
+def test_pages(spark, tmp_path, size, most, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
     rows = [(1, "http://a", "same", "x", 1), (5, None, "same", "x", 1), (3, "b\n c", "same", None, None), (2, "u", None, None, None), (4, "u", "", None, None), (7, "u", "ü" * 3000, None, None), (8, "u", "alone", None, None), (8, "u", "alone", None, None), (8, "u", "other", None, None), (None, None, "nobody", None, None)]
     df = spark.createDataFrame(rows, PAGES)
     archives = warc.normalise_archives(warc.write_archives(df, size))
