@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
+from .near import keep_first as keep_first  # the pipeline's stage: similarity of shingle sets
 from .scan import bounded, release
 from .store import keep
 
@@ -140,12 +141,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     groups = components(found.join(a, "a").join(b, "b").select(F.col("a1").alias("a"), F.col("b1").alias("b")))
     named = first.join(groups, first["first"] == groups["node"], "left").select("fp", F.coalesce("component", "first").alias("component_id"))
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component, with all columns.
-
-    A doc_id that stands on several rows keeps one of them if their texts are equal.
-    """
-    groups = near_duplicates(docs.select("doc_id", "text"), shingle).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi")
