@@ -50,3 +50,12 @@ def test_stages_against_a_plain_version(spark, corpus, labels, tmp_path):
     assert max(collections.Counter(r.sequence_id for r in rows).values()) <= packing.SEGMENTS
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sum(r.length for r in whole.collect()) == tokens
+
+
+def test_pieces_of_repeated_documents_hold_their_ids(spark, corpus):
+    docs = corpus.limit(30).unionAll(corpus.limit(3)).coalesce(1)
+    rows = corpus_pipeline.packing_sequences(spark, docs, "").collect()
+    tool = packing.Tokens(VOCABULARY)
+    ends = [list(memoryview(tool.ids(r.text) + b"\0\0\0\0").cast("I")) for r in docs.collect()]
+    found = sorted(i for r in rows for i in r.ids)
+    assert all(len(r.ids) == r.length for r in rows) and found == sorted(i for e in ends for i in e)
