@@ -563,12 +563,14 @@ def linear_regression(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(round(m.weights[0], 4), round(m.intercept, 4))], "slope double, intercept double")
 
 
-def _points(t: Tables) -> DataFrame:
-    names = [f"x{i}" for i in range(8)]
-    return t.embeddings.select("vec_id", (F.col("label") % 2).alias("y"), "label", *(F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)))
+def _points(t: Tables, width: int = 8) -> DataFrame:
+    """The first ``width`` values of each embedding as columns."""
+    return t.embeddings.select("vec_id", (F.col("label") % 2).alias("y"), "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(width)))
 
 
 _X = [f"x{i}" for i in range(8)]
+#: All values of an embedding.
+_WHOLE = [f"x{i}" for i in range(64)]
 
 
 @query()
@@ -622,6 +624,15 @@ def nearest_neighbours(t: Tables) -> DataFrame:
     return neighbours.knn(rows.filter("vec_id % 5 = 0"), rows.filter("vec_id % 5 <> 0"), _X, "label", "vec_id", 7)
 
 
+@query(
+    "WITH p AS (SELECT vec_id, label, [" + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE)" for i in range(64)) + "] AS x FROM embeddings), d AS (SELECT q.vec_id, p.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.x, p.x), p.label) AS r FROM p q JOIN p ON p.vec_id % 5 <> 0 WHERE q.vec_id % 5 = 0), "
+    "v AS (SELECT vec_id, label, count(*) AS n FROM d WHERE r <= 7 GROUP BY ALL) SELECT vec_id, arg_min(label, (-n) * 1000 + label) AS prediction FROM v GROUP BY vec_id"
+)
+def nearest_neighbours_whole(t: Tables) -> DataFrame:
+    rows = _points(t, len(_WHOLE))
+    return neighbours.knn(rows.filter("vec_id % 5 = 0"), rows.filter("vec_id % 5 <> 0"), _WHOLE, "label", "vec_id", 7)
+
+
 @query()
 def naive_bayes(t: Tables) -> DataFrame:
     rows = _points(t)
@@ -630,9 +641,9 @@ def naive_bayes(t: Tables) -> DataFrame:
 
 @query()
 def gaussian_process(t: Tables) -> DataFrame:
-    rows = _points(t)
-    m = neighbours.GaussianProcess.fit(rows.orderBy("vec_id").limit(150), _X, "y")
-    return m.predict(rows.select("vec_id", *_X), _X).select("vec_id", "prediction")
+    rows = _points(t, len(_WHOLE))
+    m = neighbours.GaussianProcess.fit(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(neighbours.PROCESS_ROWS), _WHOLE, "y")
+    return m.predict(rows.select("vec_id", *_WHOLE), _WHOLE).select("vec_id", "prediction")
 
 
 @query("SELECT event_id, round(1 / (1 + exp(-(value - 50) / 10)), 6) AS real, round(least(1, greatest(0, 0.5 + (value - 50) / 40)), 6) AS t1, round(0.5 * ((value - 50) / 10 / sqrt(1 + ((value - 50) / 10) ** 2)) + 0.5, 6) AS sr FROM events")
