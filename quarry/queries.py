@@ -193,6 +193,21 @@ def psi_three(t: Tables) -> DataFrame:
     return joins.psi3(t.supplier.select("s_suppkey"), t.customer.filter("c_custkey % 2 = 0").select("c_custkey"), t.part.select("p_partkey"), ["s_suppkey"], ["c_custkey"], ["p_partkey"])
 
 
+@query("SELECT coalesce(s_suppkey, -1) AS s_suppkey, coalesce(p_partkey, -1) AS p_partkey FROM supplier FULL JOIN part ON s_suppkey = p_partkey")
+def psi_full_whole(t: Tables) -> DataFrame:
+    return joins.psi(t.supplier.select("s_suppkey"), t.part.select("p_partkey"), ["s_suppkey"], ["p_partkey"], "full").na.fill(-1)
+
+
+@query("SELECT coalesce(s_suppkey, -1) AS s_suppkey, coalesce(p_partkey, -1) AS p_partkey FROM supplier FULL JOIN part ON s_suppkey = p_partkey WHERE s_suppkey IS NULL OR p_partkey IS NULL")
+def psi_difference_whole(t: Tables) -> DataFrame:
+    return joins.psi(t.supplier.select("s_suppkey"), t.part.select("p_partkey"), ["s_suppkey"], ["p_partkey"], "difference").na.fill(-1)
+
+
+@query("SELECT s_suppkey, c_custkey, p_partkey FROM supplier JOIN customer ON s_suppkey = c_custkey JOIN part ON s_suppkey = p_partkey")
+def psi_three_whole(t: Tables) -> DataFrame:
+    return joins.psi3(t.supplier.select("s_suppkey"), t.customer.select("c_custkey"), t.part.select("p_partkey"), ["s_suppkey"], ["c_custkey"], ["p_partkey"])
+
+
 @query("SELECT n_nationkey, n_name, c_nationkey, c_custkey FROM nation JOIN customer ON n_nationkey = c_nationkey WHERE n_regionkey = 1")
 def psi_unbalanced(t: Tables) -> DataFrame:
     return joins.unbalanced_psi(t.nation.filter("n_regionkey = 1").select("n_nationkey", "n_name"), t.customer.select("c_nationkey", "c_custkey"), ["n_nationkey"], ["c_nationkey"])
