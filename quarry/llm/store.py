@@ -8,6 +8,7 @@ reread of a file and nothing else. The setting is read from the session. Only wh
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -30,12 +31,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return it as read back, with the same schema."""
+def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders by the column ``by`` if named, and return it as read back, with the same schema."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out._kept_path = path
+    return out
+
+
+def drop(kept: DataFrame, *parts: str) -> None:
+    """Delete a kept table that no later plan reads, or only its folders ``parts``."""
+    spark = kept.sparkSession
+    for part in parts or ("",):
+        path = spark._jvm.org.apache.hadoop.fs.Path("/".join(filter(None, (kept._kept_path, part))))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished plans: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 @atexit.register
