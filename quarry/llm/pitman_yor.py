@@ -48,8 +48,8 @@ FREQUENT = 1 << 19
 DISCOUNT, STRENGTH = 0.6, 5.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.5, 1.0
 SWEEPS, BURN_IN = 6, 2
-#: Customers of a dish up to which all weights are computed; Metropolis steps of a sweep beyond; tables whose Stirling number is a sum there.
-EXACT, STEPS, SUMMED = 64, 16, 12
+#: Customers of a dish up to which all weights are computed; Metropolis steps of a sweep beyond; terms of a sum of Stirling numbers there.
+EXACT, STEPS, TERMS = 64, 16, 30
 #: Tokens of a unit of text, and of all texts for each bucket of pairs and words.
 UNIT, BUCKET = 2_000_000, 2_000_000
 #: The hash that stands for the end of a text.
@@ -172,20 +172,22 @@ def log_stirling(most: int, d: float) -> np.ndarray:
 
 
 def large_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
-    """log S(c, t) - log c! for large c and t < c: the alternating sum up to ``SUMMED`` tables, else the saddle point."""
-    out, few = np.empty(len(c)), t <= SUMMED
+    """log S(c, t) - log c! for large c and t < c: the alternating sum for t up to 2 c^d, else the saddle point."""
+    out, few = np.empty(len(c)), t <= 2 * c**d
     out[few], out[~few] = summed_stirling(c[few], t[few], d), saddle_stirling(c[~few], t[~few], d)
     return out
 
 
 def summed_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
-    """By S(c, t) = sum over j of (-1)^j binomial(t, j) G(c - j d) / G(-j d), over d^t t!; its terms shrink if t is well below c^d."""
-    lead, total = log_gamma(c - d), np.zeros(len(c))
-    for j in range(1, SUMMED + 1):
+    """By S(c, t) = sum over j of (-1)^j binomial(t, j) G(c - j d) / G(-j d), over d^t t!; its terms fall fast for t up to 2 c^d."""
+    total, term = np.zeros(len(c)), np.ones(len(c))  # term: binomial(t, j) G(c - j d) / G(c - d)
+    for j in range(1, TERMS + 1):
+        term = term * np.maximum(t - j + 1, 0) / j
+        if j > 1:
+            term *= (c - (j - 1) * d - (d + 1) / 2) ** -d
         if abs(j * d - round(j * d)) > 1e-9:  # else 1 / G is 0
-            binomial = np.array([math.comb(k, j) for k in range(SUMMED + 1)], float)[t.astype(int)]
-            total += (-1) ** j * binomial / math.gamma(-j * d) * np.exp(log_gamma(c - j * d) - lead)
-    return lead + np.log(np.maximum(total, 1e-300)) - t * np.log(d) - log_gamma(t + 1.0) - log_gamma(c + 1.0)
+            total += (-1) ** j / math.gamma(-j * d) * term
+    return log_gamma(c - d) + np.log(np.maximum(total, 1e-300)) - t * np.log(d) - log_gamma(t + 1.0) - log_gamma(c + 1.0)
 
 
 def saddle_stirling(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
@@ -535,13 +537,15 @@ class Model:
         excess, brought = np.zeros(size, np.int64), np.zeros(size, np.int64)  # customers less tables: by restaurant, by word
         root, rng, moved = Root(self.distinct), np.random.default_rng(42), []
         self.history: list[Sweep] = []
+        self.told = []
         dishes = self.pairs.filter(F.col("kind") == PAIRS).select("bucket", "dishes")
         others = Others(self) if not self.whole else None
         for k in range(sweeps + 1):  # the last figures follow the last sweep
             customers = (table.n - brought)[:-1]
             seated = root.seat(*self.root_classes(customers, moved), rng)
             self.history.append(Sweep(table.n - excess, np.append(seated.of(customers), 0.0), seated))
-            told = self.spark.sparkContext.broadcast(self.history)
+            self.told.append(self.spark.sparkContext.broadcast(self.history[-1]))  # each sweep's figures are sent once
+            told = [*self.told]
             if k < sweeps:
                 excess, brought = self.gather(dishes, told, size)
                 if others:
@@ -549,7 +553,7 @@ class Model:
                     at, less = table.place(found[0]), found[1:]
                     np.add.at(excess, at, less[0])
                     np.add.at(brought, at, less[1])
-        self.told, self.others = told, others
+        self.others = others
 
     def gather(self, dishes: DataFrame, told, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Customers less tables after the last sweep, by restaurant and by word: bounded slices are summed on the executors."""
@@ -557,7 +561,7 @@ class Model:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros((2, size), np.int64)
-            table, history = sent.value, told.value
+            table, history = sent.value, [x.value for x in told]
             for batch in batches:
                 for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("dishes").to_pylist()):
                     keys, c = unpack(data)
@@ -587,7 +591,7 @@ class Model:
             for batch in batches:
                 for bucket, dishes, asked in zip(*(batch.column(x).to_pylist() for x in ("bucket", "dishes", "asked"))):
                     keys, c = unpack(dishes)
-                    mean = np.mean([t for k, t in enumerate(seat(keys, c, sent.value, told.value[:-1], bucket)) if k >= burn_in], 0)
+                    mean = np.mean([t for k, t in enumerate(seat(keys, c, sent.value, [x.value for x in told[:-1]], bucket)) if k >= burn_in], 0)
                     yield from _answer_rows(PAIRS, bucket, answers(asked, c - DISCOUNT * mean)).to_batches()
 
         out = self.pairs.filter(F.col("kind") == PAIRS).select("bucket", "dishes", "asked").mapInArrow(run, _ANSWER)
@@ -599,7 +603,7 @@ class Model:
 
         def run(own: pa.Table, replies: pa.Table) -> pa.Table:
             unit, ids = Unit.unpack(own["payload"][0].as_py()), own["ids"].combine_chunks().flatten()
-            table, kept = sent.value, told.value[burn_in + 1 :]  # the figures after each sweep that counts
+            table, kept = sent.value, [x.value for x in told[burn_in + 1 :]]  # the figures after each sweep that counts
             rows = sorted(zip(replies["kind"].to_pylist(), replies["bucket"].to_pylist(), replies["payload"].to_pylist()), key=lambda x: x[:2])
             # counts, tables of the restaurant and the root's probability by code; the start is the last
             frequent = table.place(unit.own[: len(unit.own) - len(unit.rare)])
@@ -661,7 +665,7 @@ class Others:
         columns = ["bucket", "u", "w", "c", "t"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table, sweep, seats = sent.value, told.value[-1], Seats(DISCOUNT, STRENGTH)
+            table, sweep, seats = sent.value, told[-1].value, Seats(DISCOUNT, STRENGTH)
             for batch in batches:
                 bucket, u, w, c, t, nu, xu, nw, xw = (batch.column(x).fill_null(0).to_numpy(zero_copy_only=False) for x in (*columns, "nu", "xu", "nw", "xw"))
                 tables, p = (nu - xu).astype(float), sweep.root.of(nw - xw)
