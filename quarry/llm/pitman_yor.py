@@ -316,6 +316,11 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (scan.mix(keys + _P) % np.uint64(buckets)).astype(np.int64)
 
 
+def word_bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """pmod of the signed code, as Spark computes it."""
+    return codes.view(np.int64) % buckets
+
+
 def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of ``keys`` bucket by bucket, frequent pairs before the others, and the ends of the 2 * ``buckets`` parts."""
     part = bucket_of(keys, buckets) + np.where(keys >= _RARE, buckets, 0)
@@ -389,8 +394,9 @@ def units(docs: DataFrame, table, buckets: int) -> DataFrame:
             if len(at):
                 more = (u[at].view(np.int64), w[at].view(np.int64)) if part >= buckets else ()
                 out.append((PAIRS if part < buckets else OTHERS, part % buckets, pack(found[at], n[at], *more)))
-        order = np.argsort(bucket_of(unit.rare, buckets), kind="stable")
-        ends = np.searchsorted(bucket_of(unit.rare, buckets)[order], np.arange(buckets + 1))
+        word_bucket = word_bucket_of(unit.rare, buckets)
+        order = np.argsort(word_bucket, kind="stable")
+        ends = np.searchsorted(word_bucket[order], np.arange(buckets + 1))
         out += [(WORDS, b, pack(unit.rare[order[ends[b] : ends[b + 1]]])) for b in range(buckets) if ends[b + 1] > ends[b]]
         kinds, bucket, payload = zip(*out)
         lists = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(out), pa.int32()), ids)
@@ -453,14 +459,11 @@ def merge(rows: pa.Table) -> pa.Table:
     )
 
 
-def seat(keys: np.ndarray, c: np.ndarray, table: Table, history: list[Sweep], bucket: int) -> Iterator[np.ndarray]:
-    """The tables of a bucket's dishes after each sweep, drawn with the figures ``history``. A draw depends on the bucket, the sweep and what went before only."""
+def seat(keys: np.ndarray, c: np.ndarray, t: np.ndarray, table: Table, sweep: Sweep, seed: list[int]) -> np.ndarray:
+    """The tables of a bucket's dishes, drawn anew from the tables ``t`` with the figures ``sweep``."""
     u, w = table.place(keys >> _BITS), (keys & np.uint64((1 << 21) - 1)).astype(np.int64)
-    seats, t = Seats(DISCOUNT, STRENGTH), c.copy()
-    for k, sweep in enumerate(history):
-        others = np.maximum(sweep.tables[u] - t, 0.0).astype(float)
-        t = seats.draw(c, t, others, sweep.p[w].astype(float), np.random.default_rng([42, bucket, k]))
-        yield t
+    others = np.maximum(sweep.tables[u] - t, 0.0).astype(float)
+    return Seats(DISCOUNT, STRENGTH).draw(c, t, others, sweep.p[w].astype(float), np.random.default_rng(seed))
 
 
 def answers(asked: bytes, value: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -511,7 +514,7 @@ class Model:
             if total > frequent:
                 break
             least = r["least"]
-        end = int(END)
+        self.least, end = least, int(END)
         most = self.words.filter((F.col("n") >= least) | (F.col("key") == end)).select("key", "n").toArrow()
         keys, n = most["key"].to_numpy().view(np.uint64), most["n"].to_numpy()
         self.table = Table(keys, n, int(n[keys == END].sum()))
@@ -538,46 +541,58 @@ class Model:
         root, rng, moved = Root(self.distinct), np.random.default_rng(42), []
         self.history: list[Sweep] = []
         self.told = []
-        dishes = self.pairs.filter(F.col("kind") == PAIRS).select("bucket", "dishes")
+        # of each bucket the dishes, their tables and the sum of the tables after the sweeps that count
+        self.seated = self.pairs.filter(F.col("kind") == PAIRS).select("bucket", "dishes", F.lit(None).cast("binary").alias("tables"))
         others = Others(self) if not self.whole else None
         for k in range(sweeps + 1):  # the last figures follow the last sweep
             customers = (table.n - brought)[:-1]
             seated = root.seat(*self.root_classes(customers, moved), rng)
             self.history.append(Sweep(table.n - excess, np.append(seated.of(customers), 0.0), seated))
-            self.told.append(self.spark.sparkContext.broadcast(self.history[-1]))  # each sweep's figures are sent once
-            told = [*self.told]
+            self.told.append(self.spark.sparkContext.broadcast(self.history[-1]))  # bounded, sent once
             if k < sweeps:
-                excess, brought = self.gather(dishes, told, size)
+                excess, brought = self.sweep(self.told[-1], k, size)
                 if others:
-                    found, moved = others.sweep(told, k)
+                    found, moved = others.sweep(self.told[-1], k)
                     at, less = table.place(found[0]), found[1:]
                     np.add.at(excess, at, less[0])
                     np.add.at(brought, at, less[1])
         self.others = others
 
-    def gather(self, dishes: DataFrame, told, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Customers less tables after the last sweep, by restaurant and by word: bounded slices are summed on the executors."""
-        sent, width = self.sent, 1 << 15
+    def sweep(self, told, number: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Draws all tables anew; returns the customers less tables by restaurant and by word, summed in bounded slices on the executors."""
+        sent, width, burn_in = self.sent, 1 << 15, self.burn_in
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((2, size), np.int64)
-            table, history = sent.value, [x.value for x in told]
+            sums, table = np.zeros((2, size), np.int64), sent.value
             for batch in batches:
-                for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("dishes").to_pylist()):
-                    keys, c = unpack(data)
-                    for t in seat(keys, c, table, history, bucket):
-                        pass
+                for bucket, dishes, tables in zip(*(batch.column(x).to_pylist() for x in ("bucket", "dishes", "tables"))):
+                    keys, c = unpack(dishes)
+                    t, total = unpack(tables) if tables else (c, np.zeros(len(c), np.int64))  # at first each customer has a table
+                    t = seat(keys, c, t, table, told.value, [42, bucket, number])
                     sums[0] += np.bincount(table.place(keys >> _BITS), c - t, minlength=size).astype(np.int64)
                     sums[1] += np.bincount((keys & np.uint64((1 << 21) - 1)).astype(np.int64), c - t, minlength=size).astype(np.int64)
+                    yield rows([0], [bucket], [dishes], [pack(t, total + t if number >= burn_in else total)])
             at = [lo for lo in range(0, size, width) if sums[:, lo : lo + width].any()]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([pack(sums[0, lo : lo + width], sums[1, lo : lo + width]) for lo in at], pa.binary())], ["slice", "payload"])
-
-        def add(rows: pa.Table) -> pa.Table:
-            parts = [unpack(x) for x in rows["payload"].to_pylist()]
-            return pa.table({"slice": rows["slice"].slice(0, 1), "payload": pa.array([pack(sum(x[0] for x in parts), sum(x[1] for x in parts))], pa.binary())})
-
-        kind = "slice long, payload binary"
-        found = dishes.mapInArrow(run, kind).groupBy("slice").applyInArrow(add, kind).toArrow()
+            yield rows([1] * len(at), at, [None] * len(at), [pack(sums[0, lo : lo + width], sums[1, lo : lo + width]) for lo in at])
+
+        def rows(kind: list, bucket: list, dishes: list, tables: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(dishes, pa.binary()), pa.array(tables, pa.binary())], ["kind", "bucket", "dishes", "tables"])
+
+        def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in parts:
+                for x in batch.column("tables").to_pylist():
+                    one = unpack(x)
+                    total = one if total is None else [a + b for a, b in zip(total, one)]
+                lo = batch.column("bucket").slice(0, 1)
+            yield pa.RecordBatch.from_arrays([lo, pa.array([pack(*total)], pa.binary())], ["slice", "payload"])
+
+        out = keep(self.seated.mapInArrow(run, "kind int, bucket int, dishes binary, tables binary"), "seated", "kind")
+        before, self.seated = self.seated, out.filter("kind = 0").select("bucket", "dishes", "tables")
+        self.seated._kept_path = f"{out._kept_path}/kind=0"
+        if number:
+            drop(before)
+        found = out.filter("kind = 1").select("bucket", "tables").groupBy("bucket").applyInArrow(add, "slice int, payload binary").toArrow()
         excess, brought = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for lo, data in zip(found["slice"].to_pylist(), found["payload"].to_pylist()):
             excess[lo : lo + width], brought[lo : lo + width] = unpack(data)
@@ -585,16 +600,15 @@ class Model:
 
     def answered(self) -> DataFrame:
         """(unit, kind, bucket, payload): what every unit asked about its pairs and its words that are not frequent."""
-        sent, told, burn_in = self.sent, self.told, self.burn_in
+        kept = len(self.history) - 1 - self.burn_in
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for bucket, dishes, asked in zip(*(batch.column(x).to_pylist() for x in ("bucket", "dishes", "asked"))):
-                    keys, c = unpack(dishes)
-                    mean = np.mean([t for k, t in enumerate(seat(keys, c, sent.value, [x.value for x in told[:-1]], bucket)) if k >= burn_in], 0)
-                    yield from _answer_rows(PAIRS, bucket, answers(asked, c - DISCOUNT * mean)).to_batches()
+        def run(asked: pa.Table, seated: pa.Table) -> pa.Table:
+            _, c = unpack(seated["dishes"][0].as_py())
+            value = c - DISCOUNT * unpack(seated["tables"][0].as_py())[1] / kept
+            return _answer_rows(PAIRS, asked["bucket"][0].as_py(), answers(asked["asked"][0].as_py(), value))
 
-        out = self.pairs.filter(F.col("kind") == PAIRS).select("bucket", "dishes", "asked").mapInArrow(run, _ANSWER)
+        asked = self.pairs.filter(F.col("kind") == PAIRS).select("bucket", "asked")
+        out = asked.groupBy("bucket").cogroup(self.seated.groupBy("bucket")).applyInArrow(run, _ANSWER)
         return out.unionAll(self.others.answered()) if self.others else out
 
     def score(self) -> DataFrame:
@@ -614,7 +628,7 @@ class Model:
                 tables[k, : len(frequent)], tables[k, -1], p[k, : len(frequent)] = sweep.tables[frequent], sweep.tables[-1], sweep.p[frequent]
                 p[k, len(frequent) : -1] = sweep.root.unseen
             if words := [unpack(x[2]) for x in rows if x[0] == WORDS]:
-                at = len(frequent) + np.argsort(bucket_of(unit.rare, buckets), kind="stable")
+                at = len(frequent) + np.argsort(word_bucket_of(unit.rare, buckets), kind="stable")
                 n[at] = np.concatenate([x[0] for x in words])
                 excess, brought = (np.concatenate([x[i].reshape(-1, len(kept)) for x in words]) for i in (1, 2))
                 for k, sweep in enumerate(kept):
@@ -665,7 +679,7 @@ class Others:
         columns = ["bucket", "u", "w", "c", "t"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table, sweep, seats = sent.value, told[-1].value, Seats(DISCOUNT, STRENGTH)
+            table, sweep, seats = sent.value, told.value, Seats(DISCOUNT, STRENGTH)
             for batch in batches:
                 bucket, u, w, c, t, nu, xu, nw, xw = (batch.column(x).fill_null(0).to_numpy(zero_copy_only=False) for x in (*columns, "nu", "xu", "nw", "xw"))
                 tables, p = (nu - xu).astype(float), sweep.root.of(nw - xw)
@@ -722,7 +736,7 @@ class Others:
             keys, n = keys[order], n[order]
             past = np.zeros((2, len(keys), kept), np.int32)
             for i, name in enumerate(("excesses", "all_brought")):
-                has = np.array([x is not None for x in known[name].to_pylist()], bool)
+                has = known[name].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
                 if has.any():
                     rows = np.zeros((len(keys), kept), np.int32)
                     rows[has] = known[name].combine_chunks().drop_null().flatten().to_numpy().reshape(-1, kept)
@@ -739,20 +753,11 @@ class Others:
         rows = model.pairs.filter(F.col("kind") == OTHERS).select("bucket", "dishes", "asked")
         found = rows.groupBy("bucket").cogroup(self.dishes.groupBy("bucket")).applyInArrow(pairs, _ANSWER)
         asked = model.units.filter(F.col("kind") == WORDS).select("bucket", "unit", "payload")
-        known = model.words.select(F.col("key").bitwiseOR(F.lit(-(1 << 63))).alias("key"), "n").join(self.words.select("key", "excesses", "all_brought"), "key", "left")
-        known = known.mapInArrow(_with_bucket(buckets), "key long, n long, excesses array<long>, all_brought array<long>, bucket int")
+        known = model.words.filter(F.col("n") < model.least).select(F.col("key").bitwiseOR(F.lit(-(1 << 63))).alias("key"), "n").join(self.words.select("key", "excesses", "all_brought"), "key", "left")
+        known = known.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
         return found.unionAll(asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(words, _ANSWER))
 
 
-def _with_bucket(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bucket = bucket_of(batch.column("key").to_numpy().view(np.uint64), buckets)
-            yield batch.append_column("bucket", pa.array(bucket.astype(np.int32)))
-
-    return run
-
-
 def score(docs: DataFrame, out: Column, frequent: int = FREQUENT, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every document; those of ``out`` are not learned from."""
     return Model(scan.bounded(docs).select("doc_id", "text", out.alias("held_out")), frequent, sweeps, burn_in).score()

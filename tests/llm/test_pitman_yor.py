@@ -153,13 +153,14 @@ def test_predictive_probabilities_sum_to_one(spark):
     df = spark.createDataFrame([(i, " ".join(rng.choice("abbcccdefgh") for _ in range(rng.randrange(90)))) for i in range(40)], "doc_id long, text string")
     model = py.Model(df.withColumn("held_out", py.held_out(F.col("doc_id"))), 1000, 3, 0)
     rows = [(r.bucket, *py.unpack(bytes(r.dishes))) for r in model.pairs.filter(F.col("kind") == py.PAIRS).collect()]
+    tables = {bucket: c for bucket, _, c in rows}
     table = model.table
     for k, sweep in enumerate(model.history[1:]):
         assert sweep.p.sum() + sweep.root.unseen == pytest.approx(1.0, rel=1e-5)
         own = table.n.astype(float)  # pairs that stand once have one table
         for bucket, keys, c in rows:
-            t = list(py.seat(keys, c, table, model.history[: k + 1], bucket))[-1]
-            np.add.at(own, table.place(keys >> np.uint64(21)), -py.DISCOUNT * t)
+            tables[bucket] = py.seat(keys, c, tables[bucket], table, model.history[k], [42, bucket, k])
+            np.add.at(own, table.place(keys >> np.uint64(21)), -py.DISCOUNT * tables[bucket])
         singles = table.n - sum(np.bincount(table.place(keys >> np.uint64(21)), c, minlength=len(own)) for _, keys, c in rows)
         own -= py.DISCOUNT * singles
         whole = (own + py.STRENGTH + py.DISCOUNT * sweep.tables) / (py.STRENGTH + table.n)
@@ -206,7 +207,7 @@ def test_large_stirling_numbers_follow_the_recurrence(c, d):
 
 def test_log_gamma():
     x = np.array([1e-3, 0.5, 1, 2.5, 7.99, 8, 100, 1e9])
-    assert py.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-10, abs=1e-10)
+    assert py.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-9, abs=1e-9)
 
 
 def test_packed_arrays():
