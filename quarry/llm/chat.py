@@ -3,8 +3,9 @@
 A turn's content is a list of parts. A visitor flattens them in order: text is escaped, every image,
 audio or document becomes a placeholder, whose reference and expanded token count are recorded. The
 template is ``<|im_start|>`` role ``<|im_sep|>`` content ``<|im_end|>`` newline. Inside texts and
-roles a backslash is doubled and ``<|`` becomes ``<\\|``, so no text can hold a control string or a
-placeholder, and the escape is undone by dropping each backslash that leads a pair.
+roles a backslash is doubled and ``<|`` becomes ``<\\|``, as does a ``|`` that begins any part but a
+turn's first, since the part before may end with ``<``. So no text, nor texts in a row, can hold a
+control string or a placeholder, and the escape is undone by dropping each backslash that leads a pair.
 
 Defined results: a null text, role or part list is an empty one; a part of an unknown type is an
 attachment of no tokens; rows of one turn are ordered by role and content; repeated rows stay; an
@@ -41,9 +42,10 @@ def _kind(part: Column) -> Column:
     return F.coalesce(part["type"], F.lit("text"))
 
 
-def _render(part: Column) -> Column:
-    kind = _kind(part)
-    return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(
+def _render(part: Column, i: Column) -> Column:
+    kind, text = _kind(part), F.coalesce(part["text"], F.lit(""))
+    lead = F.when((i > 0) & F.startswith(text, F.lit("|")), F.lit("\\")).otherwise(F.lit(""))
+    return F.when(kind == "text", F.concat(lead, escape(text))).otherwise(
         F.when(kind.isin("image", "audio", "document"), F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(F.lit("<|attachment|>"))
     )
 
@@ -93,12 +95,16 @@ def format_chats(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) ->
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """conv_id, formatted, turns (role, text) and loss_text (list of the texts under the mask), read from the strings."""
+    """conv_id, formatted, turns and loss_text (list of the texts under the mask), read from the strings.
+
+    A turn has role, text and placeholders: the kinds of its attachments in order. A text that spells a
+    placeholder is escaped in the string and is not among them.
+    """
     segments = F.filter(F.split("formatted", r"<\|im_end\|>\n"), lambda x: x != "")
     halves = F.transform("segments", lambda x: F.split(F.substr(x, F.lit(len(START) + 1)), r"<\|im_sep\|>", 2))
     return chats.withColumn("segments", segments).select(
         "conv_id", "formatted",
-        F.transform(halves, lambda h: F.struct(unescape(h[0]).alias("role"), unescape(h[1]).alias("text"))).alias("turns"),
+        F.transform(halves, lambda h: F.struct(unescape(h[0]).alias("role"), unescape(h[1]).alias("text"), F.regexp_extract_all(h[1], F.lit(r"<\|(image|audio|document|attachment)\|>"), F.lit(1)).alias("placeholders"))).alias("turns"),
         F.transform("loss", lambda s: unescape(F.substr(F.element_at("segments", s["turn"] + 1), s["at"] + 1, s["length"]))).alias("loss_text"),
     )
 
