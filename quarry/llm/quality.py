@@ -3,10 +3,12 @@
 Two multinomials over hashed word unigrams and bigrams are counted: one over every document (raw),
 one over the trusted documents (target). A document's score is the mean log ratio of its n-grams, so
 it does not depend on the document's length. A document is kept if it passes the base rules and its
-score reaches a threshold that is fitted once on labelled documents; nothing is drawn at random.
+score reaches a threshold that is fitted once on labelled documents; nothing is drawn at random. For
+the threshold a trusted document is scored without its own n-grams in the target, as an unseen one is.
 
 Defined results: a null text is an empty one; an empty text has no n-gram, score 0.0 and fails the
-base rules; repeated rows are scored alike; an empty table gives an empty result; other columns are
+base rules; repeated rows are scored alike; a row without doc_id has no label, and labels that
+contradict each other are left out; doc_id is an integer where labels are used; an empty table gives an empty result; other columns are
 passed through by ``keep_documents`` and ignored by ``assess``. Without labels of both classes the
 threshold is minus infinity, and without trusted documents every score is 0.0.
 """
@@ -44,11 +46,17 @@ def ngrams(block: scan.Block, buckets: int) -> tuple[np.ndarray, np.ndarray, np.
     return to(hashes), to(both), text[:-1] == text[1:], text, (begin, end, counts, hashes)
 
 
+def is_in(ids: pa.Array, wanted: np.ndarray) -> np.ndarray:
+    """Which ids are in ``wanted``; a null one never is."""
+    known = ids.is_valid().to_numpy(zero_copy_only=False)
+    return known & np.isin(ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), wanted)
+
+
 def _counter(trusted: np.ndarray, buckets: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            good = np.isin(batch.column("doc_id").to_numpy(zero_copy_only=False), trusted)
+            good = is_in(batch.column("doc_id"), trusted)
             for row, block in scan.blocks(batch.column("text")):
                 one, two, inside, text, _ = ngrams(block, buckets)
                 chosen = good[row : row + block.n][text]
@@ -62,20 +70,55 @@ def _counter(trusted: np.ndarray, buckets: int):
     return count
 
 
-def fit(docs: DataFrame, trusted: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """The log ratio of each bucket. Every document counts as raw, those whose doc_id is in ``trusted`` also as target.
+def sums(docs: DataFrame, trusted: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """How often each bucket stands in all documents, and in those whose doc_id is in ``trusted``.
 
     Every task sends at most ``buckets`` sums, and the driver gets at most ``buckets`` rows.
     """
-    sums = (
+    found = (
         scan.bounded(docs).select("doc_id", "text").mapInArrow(_counter(np.unique(trusted), buckets), "bucket long, raw long, target long")
         .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow().to_pandas()
     )
     raw, target = np.zeros(buckets), np.zeros(buckets)
-    raw[sums["bucket"]], target[sums["bucket"]] = sums["raw"], sums["target"]
+    raw[found["bucket"]], target[found["bucket"]] = found["raw"], found["target"]
+    return raw, target
+
+
+def ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log ratio of each bucket."""
     if not target.sum():
-        return np.zeros(buckets)
-    return np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+        return np.zeros(len(raw))
+    return np.log((target + 1) / (target.sum() + len(raw))) - np.log((raw + 1) / (raw.sum() + len(raw)))
+
+
+def fit(docs: DataFrame, trusted: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """The log ratio of each bucket. Every document counts as raw, those whose doc_id is in ``trusted`` also as target."""
+    return ratios(*sums(docs, trusted, buckets))
+
+
+def unseen_scores(docs: DataFrame, raw: np.ndarray, target: np.ndarray, trusted: np.ndarray) -> DataFrame:
+    """(doc_id, base_failed, score) of each row, a trusted document's own n-grams taken out of the target."""
+    trusted, size = np.unique(trusted), len(raw)
+    sent = docs.sparkSession.sparkContext.broadcast((ratios(raw, target), raw, target, trusted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, raw, target, trusted = sent.value
+        rest, below = target.sum(), np.log((raw + 1) / (raw.sum() + size))
+        for batch in batches:
+            own = is_in(batch.column("doc_id"), trusted)
+            for row, block in scan.blocks(batch.column("text")):
+                got = features(block, table, float("-inf"))
+                one, two, inside, text, _ = ngrams(block, size)
+                score = got["score"]
+                for k in np.flatnonzero(own[row : row + block.n]):
+                    grams, n = np.unique(np.concatenate((one[text == k], two[inside & (text[:-1] == k)])), return_counts=True)
+                    if len(grams):
+                        left = target[grams] - n
+                        score[k] = (n * (np.log((left + 1) / (rest - n.sum() + size)) - below[grams])).sum() / n.sum() if rest > n.sum() else 0.0
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, block.n), pa.array(got["base_failed"]), pa.array(score)], ["doc_id", "base_failed", "score"])
+        scan.release()
+
+    return scan.bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base_failed boolean, score double")
 
 
 def repeated(keys: np.ndarray) -> np.ndarray:
@@ -158,9 +201,9 @@ def keep_documents(docs: DataFrame, table: np.ndarray, cut: float) -> DataFrame:
 
 
 def labelled(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
-    """At most ``bound`` labelled rows (doc_id, quality), the smallest by hash of doc_id."""
-    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality")
-    return known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(bound)
+    """At most ``bound`` labelled documents (doc_id, quality), the smallest by hash of doc_id."""
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
+    return known.filter("quality = most").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
 def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
@@ -181,8 +224,9 @@ def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
 def learn(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, bound: int = LABELLED) -> tuple[np.ndarray, float]:
     """The log ratios and the threshold for ``docs``; trusted are the labelled documents of quality 1."""
     sample = labelled(labels, bound).toArrow().to_pandas()
-    table = fit(docs, sample.loc[sample["quality"] == 1, "doc_id"].to_numpy(np.int64), buckets)
+    trusted = sample.loc[sample["quality"] == 1, "doc_id"].to_numpy(np.int64)
+    raw, target = sums(docs, trusted, buckets)
     known = docs.sparkSession.createDataFrame(sample, "doc_id long, quality int")
-    rows = assess(docs.join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_semi"), table, float("-inf"))
+    rows = unseen_scores(docs.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi"), raw, target, trusted)
     got = rows.filter("NOT base_failed").select("doc_id", "score").toArrow().to_pandas().merge(sample, on="doc_id")
-    return table, best_cut(got["score"].to_numpy(), got["quality"].to_numpy() == 1)
+    return ratios(raw, target), best_cut(got["score"].to_numpy(), got["quality"].to_numpy() == 1)

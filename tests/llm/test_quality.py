@@ -72,3 +72,37 @@ def test_edges(spark, awkward, empty, labels):
     assert quality.keep_documents(awkward, table, cut).columns == awkward.columns
     assert quality.best_cut(np.array([1.0, 2.0, 3.0]), np.array([False, True, True])) == 1.5
     assert quality.best_cut(np.array([1.0, 1.0]), np.array([False, True])) == -math.inf
+
+
+def test_unseen_scores_leave_a_document_out(corpus, labels):
+    trusted = np.array(sorted(r.doc_id for r in labels.collect() if r.quality == 1))
+    raw, target = quality.sums(corpus, trusted, 512)
+    got = {r.doc_id: r.score for r in quality.unseen_scores(corpus, raw, target, trusted).collect()}
+    plain = {r.doc_id: r.score for r in quality.assess(corpus, quality.ratios(raw, target), 0.0).collect()}
+    for i in (0, 1, 3, 11):
+        if i in trusted:
+            _, without = quality.sums(corpus, trusted[trusted != i], 512)
+            want = {r.doc_id: r.score for r in quality.assess(corpus.filter(f"doc_id = {i}"), quality.ratios(raw, without), 0.0).collect()}[i]
+            assert got[i] == pytest.approx(want) and got[i] < plain[i]
+        else:
+            assert got[i] == pytest.approx(plain[i])
+
+
+def test_good_documents_without_label_are_kept(spark):
+    """Held-out labels: the rate of good documents kept is that of the rows the threshold was fitted on."""
+    path = "/root/testdata/sf0.01"
+    docs, known = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    table, cut = quality.learn(docs, known.filter("doc_id % 2 = 0"))
+    kept = {r.doc_id: r.kept for r in quality.assess(docs, table, cut).filter("NOT base_failed").collect()}
+    good = {half: [kept[r.doc_id] for r in known.filter("quality = 1").collect() if r.doc_id % 2 == half and r.doc_id in kept] for half in (0, 1)}
+    bad = [kept[r.doc_id] for r in known.filter("quality = 0").collect() if r.doc_id % 2 and r.doc_id in kept]
+    rate = {half: sum(x) / len(x) for half, x in good.items()}
+    assert rate[1] > 0.9 and rate[0] - rate[1] < 0.08, (rate, sum(bad) / max(1, len(bad)))
+
+
+def test_contradicting_labels_and_null_ids(spark, awkward):
+    known = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1)], "doc_id long, quality int")
+    assert [tuple(r) for r in quality.labelled(known).collect()] == [(2, 1)]
+    big = spark.createDataFrame([((1 << 53) + 1, "a b c"), ((1 << 53) + 2, "d e f"), (None, "g h i")], "doc_id long, text string")
+    raw, target = quality.sums(big, np.array([(1 << 53) + 1]), 1 << 12)
+    assert target.sum() == 5 and raw.sum() == 15
