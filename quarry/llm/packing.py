@@ -1,15 +1,22 @@
 """Vector bin packing of token pieces into training sequences.
 
 Every document is a list of ids. What fills whole sequences is cut off first; the rest of each
-document is an item with three demands: tokens, segments (one) and loss-bearing tokens. An open
+document is an item with three demands: tokens, segments (one) and loss-bearing tokens, which are its
+last ones (an answer follows its prompt). An open
 sequence takes, again and again, the item that fits and has the largest dot product of its demands
 with the sequence's remaining room, both as shares of the limits. If nothing fits, the longest item
-is cut so that the sequence becomes full. The last sequences of a task have power-of-two lengths, so
-they need no padding either. Each task packs its own rows, in windows of ``WINDOW`` items, so nothing
-is shuffled and a lost task is repeated alone, with the same outcome.
+is cut so that the sequence becomes full. A sequence that another limit closes, or the end of a task, is
+cut back to a power of two and what is cut waits for another one, so nothing is padded, whatever the
+lengths. Each task packs its own rows, in windows of ``WINDOW`` items, so nothing
+is shuffled and a lost task is repeated alone, with the same outcome. Of a waiting document only the
+ids that wait are held, under ``LENGTH`` of them.
+
+Special tokens that a text spells (such as an end-of-text mark) get their ids, as the tokenizers file says;
+with ``literal`` they are spelled by other tokens, so that no text can end a document.
 
 Defined results: a null text is an empty one and holds the end id only; repeated rows are packed each;
-ties take the earlier item; an empty table gives an empty result; other columns are ignored.
+ties take the earlier item; a null or negative loss is none and a larger one than the tokens is all; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,13 +62,16 @@ class Tokens:
     and a probe gives the same ids; else by tokenizers itself.
     """
 
-    PROBE = "It's 12,345 élèves'll say:  \n\n«naïve» — 日本語 \t x_y!! <|endoftext|> don't \u00a0 Größe\r\n"
+    PROBE = "It's 12,345 élèves'll say:  \n\n«naïve» — 日本語 \t x_y!! <|x|> don't \u00a0 Größe\r\n"
 
-    def __init__(self, path: str):
+    def __init__(self, content: str, literal: bool = False):
+        """``content``: the tokenizers file."""
         from tokenizers import Tokenizer
 
-        self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True
+        self.tool = Tokenizer.from_str(content)
+        self.tool.encode_special_tokens = literal
+        added = [x.content for x in self.tool.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added))) if added and not literal else None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.one = self._ranked() or self._slow
@@ -96,24 +106,31 @@ class Tokens:
         return ids
 
     def ids(self, text: str) -> bytes:
+        if self.special and self.special.search(text):
+            return array("I", self._slow(text)).tobytes()
         if _DOUBLE.search(text):
             return array("I", self.one(text)).tobytes()
         first, *rest = text.split(" ")
         return b"".join([self._get(first) if first else b"", *map(self._get, [" " + w for w in rest])])
 
 
-_TOKENS: dict[str, Tokens] = {}
+_TOKENS: dict[tuple, Tokens] = {}
 
 
-def tokens(path: str) -> Tokens:
+def tokens(path: str, content: str, literal: bool = False) -> Tokens:
     """The tool of this worker, which later tasks find with what it remembers."""
-    if path not in _TOKENS:
-        _TOKENS[path] = Tokens(path)
-    return _TOKENS[path]
+    if (path, literal) not in _TOKENS:
+        _TOKENS[path, literal] = Tokens(content, literal)
+    return _TOKENS[path, literal]
+
+
+def power(n: int) -> int:
+    """The largest power of two up to ``n``."""
+    return 1 << (int(n).bit_length() - 1)
 
 
 class Packer:
-    """Packs items (key, first token, tokens, loss-bearing tokens) of one task; ``out`` gets (key, start, length, sequence, offset)."""
+    """Packs items (key, tokens, of which the last ``loss`` bear loss) of one task; ``out`` gets (key, start, length, sequence, offset)."""
 
     def __init__(self, base: int, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None):
         self.room = np.array([length, segments, loss or length], float)
@@ -122,94 +139,137 @@ class Packer:
         self.start, self.tokens, self.loss = [], [], []
         self.out: list[tuple] = []
 
-    def add(self, key, tokens: int, loss: int) -> None:
-        """One document. Whole sequences are cut off at once; a prefix bears loss in proportion, rounded up."""
-        start, most = 0, int(min(self.length, self.room[2]))
-        while tokens - start >= most:
+    def add(self, key, tokens: int, loss: int) -> int:
+        """One document. Whole sequences are cut off at once; returns where the rest begins, that waits."""
+        start, loss = 0, max(0, min(tokens, loss))
+        while tokens - start:
+            free = max(0, tokens - start - loss)
+            most = min(self.length, free + int(self.room[2]))
+            most = most if most == self.length else power(most)
+            if tokens - start < most:
+                break
             self.out.append((key, start, most, self.next, 0))
             self.next += 1
+            loss -= max(0, most - free)
             start += most
         if start < tokens:
             self.keys.append(key)
             self.start.append(start)
             self.tokens.append(tokens - start)
-            self.loss.append(min(tokens - start, -(-loss * (tokens - start) // tokens)))
+            self.loss.append(loss)
+        return start
 
     def place(self, last: bool) -> None:
         """Place the waiting items. All but the last call leave what can't fill a sequence to the next one."""
         start, tokens = np.array(self.start, np.int64), np.array(self.tokens, np.int64)
         loss, left = np.array(self.loss, np.int64), int(sum(self.tokens))
         while left and (last or left >= self.length * 8):
-            size = self.length if left >= self.length else 1 << (left.bit_length() - 1)
-            room, offset = self.room.copy(), 0
+            size = self.length if left >= self.length else power(left)
+            room, offset, pieces = self.room.copy(), 0, []
             room[0] = size
             while room[0] >= 1 and room[1] >= 1 and left:
                 fits = (tokens > 0) & (tokens <= room[0]) & (loss <= room[2])
                 score = np.where(fits, tokens * (room[0] / self.room[0] ** 2) + room[1] / self.room[1] ** 2 + loss * (room[2] / self.room[2] ** 2), -1.0)
                 at = int(np.argmax(score))
                 take = int(tokens[at])
-                if score[at] < 0:  # nothing fits: the longest item is cut
-                    at = int(np.argmax(tokens))
-                    take = int(min(tokens[at], room[0]))
-                    while take and -(-loss[at] * take // tokens[at]) > room[2]:
-                        take -= 1
-                    if not take:
+                if score[at] < 0:  # nothing fits: the item of which most does is cut
+                    most = np.minimum(tokens, np.minimum(room[0], tokens - loss + room[2])).astype(np.int64)
+                    at = int(np.argmax(most))
+                    take = int(most[at])
+                    if take < 1:
                         break
-                bearing = int(-(-loss[at] * take // tokens[at]))
-                self.out.append((self.keys[at], int(start[at]), take, self.next, offset))
-                start[at] += take
-                tokens[at] -= take
-                loss[at] -= bearing
+                bearing = max(0, take - int(tokens[at] - loss[at]))
+                pieces.append((at, take, bearing))
+                start[at], tokens[at], loss[at] = start[at] + take, tokens[at] - take, loss[at] - bearing
                 offset, left = offset + take, left - take
                 room -= (take, 1, bearing)
+            over = 0 if offset == self.length else offset - power(offset)
+            while over:  # give back from the end
+                at, take, bearing = pieces.pop()
+                back = min(take, over)
+                lost = min(bearing, back)
+                start[at], tokens[at], loss[at] = start[at] - back, tokens[at] + back, loss[at] + lost
+                over, left = over - back, left + back
+                if take > back:
+                    pieces.append((at, take - back, bearing - lost))
+            taken = dict.fromkeys(at for at, _, _ in pieces)
+            begin = {at: int(start[at]) - sum(t for a, t, _ in pieces if a == at) for at in taken}
+            offset = 0
+            for at, take, _ in pieces:
+                self.out.append((self.keys[at], begin[at], take, self.next, offset))
+                begin[at], offset = begin[at] + take, offset + take
             self.next += 1
         rest = np.flatnonzero(tokens)
         self.keys = [self.keys[i] for i in rest]
         self.start, self.tokens, self.loss = (x[rest].tolist() for x in (start, tokens, loss))
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, with_ids: bool = False) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = LENGTH, segments: int = SEGMENTS, loss: int | None = None, with_ids: bool = False, bearing: str | None = None, literal: bool = False
+) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and on demand its ids.
 
-    Every token but a document's first bears loss. ``vocabulary`` is the path of a tokenizers file.
-    """
+    ``vocabulary`` is the path of a tokenizers file, read here and sent to the tasks. ``bearing`` names
+    a column of text whose tokens bear loss, as an answer that ends the document's text (the end id bears loss too);
+    without it every token but a document's first does. ``loss`` is the limit of such tokens of a sequence.
+    """
+    with open(vocabulary, encoding="utf-8") as file:
+        sent = docs.sparkSession.sparkContext.broadcast(file.read())  # of the size of that file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = tokens(vocabulary)
+        tool = tokens(vocabulary, sent.value, literal)
         packer = Packer(TaskContext.get().partitionId() << 33, length, segments, loss)
-        held: dict[int, tuple] = {}  # of the rows that still wait: doc_id and ids
+        held: dict[int, tuple] = {}  # of the rows that wait: doc_id, tokens, where the rest begins, and its ids
         end, row = np.array([end_id], "<u4").tobytes(), 0
+        made: list[tuple] = []
+
+        def take() -> None:
+            for k, a, n, s, o in packer.out:
+                key, total, first, ids = held[k]
+                piece = ids[4 * (a - first) : 4 * (a - first + n)]
+                made.append((key, a, n, zlib.crc32(piece), total, s, o, *[piece] * with_ids))
+            packer.out = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if packer.out:
-                pieces, packer.out = packer.out, []
-                rows = [(held[k][0], a, n, zlib.crc32(memoryview(held[k][1])[4 * a : 4 * (a + n)]), len(held[k][1]) // 4, s, o) for k, a, n, s, o in pieces]
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (kind, *(pa.int64(),) * 6))]
+            if made:
+                columns = list(zip(*made))
+                arrays = [pa.array(c, t) for c, t in zip(columns, (kind, *(pa.int64(),) * 6))]
                 if with_ids:
-                    columns.append(pa.array([np.frombuffer(held[k][1], "<i4", n, 4 * a) for k, a, n, _, _ in pieces], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, names)
-            waiting = set(packer.keys)
-            for k in [k for k in held if k not in waiting]:
-                del held[k]
+                    arrays.append(pa.array([np.frombuffer(x, "<i4") for x in columns[7]], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(arrays, names)
+                made.clear()
 
         kind = pa.int64()
         for batch in batches:
             kind = batch.column("doc_id").type
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for key, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    ids = tool.ids(text or "")
-                    held[row] = (key, ids + end)
-                    n = len(ids) // 4 + 1
-                    packer.add(row, n, n - 1)
+                answers = part.column("bearing").to_pylist() if bearing else [None] * part.num_rows
+                for key, text, answer in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), answers):
+                    ids = tool.ids(text or "") + end
+                    n = len(ids) // 4
+                    held[row] = (key, n, 0, ids)
+                    first = packer.add(row, n, len(tool.ids(answer or "")) // 4 + 1 if bearing else n - 1)
+                    take()  # the whole sequences of this document
+                    if first < n:
+                        held[row] = (key, n, first, ids[4 * first :])
+                    else:
+                        del held[row]
                     row += 1
+                    if len(made) >= 4096:
+                        yield from flush()
                 if len(packer.keys) >= WINDOW:
                     packer.place(False)
+                    take()
+                    waiting = set(packer.keys)
+                    held = {k: v for k, v in held.items() if k in waiting}
                 yield from flush()
         packer.place(True)
+        take()
         yield from flush()
         scan.release()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
     kind_name = docs.schema["doc_id"].dataType.simpleString()
-    return scan.bounded(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind_name}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
+    columns = ["doc_id", F.col("text").cast("string").alias("text"), *([F.col(bearing).cast("string").alias("bearing")] if bearing else [])]
+    return scan.bounded(docs).select(*columns).mapInArrow(run, f"doc_id {kind_name}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)

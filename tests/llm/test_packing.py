@@ -1,9 +1,11 @@
 import collections
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from quarry.llm import packing
 from quarry.llm.queries import VOCABULARY
@@ -11,11 +13,14 @@ from quarry.llm.queries import VOCABULARY
 
 @pytest.fixture(scope="module")
 def tool():
-    return packing.Tokens(VOCABULARY)
+    return packing.Tokens(Path(VOCABULARY).read_text())
+
+
+FILE = Tokenizer.from_file(VOCABULARY)
 
 
 def plain(tool, text):
-    return np.array(tool.tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    return np.array(FILE.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_remembered_ids_are_the_tokenizers_ids(tool, corpus):
@@ -68,7 +73,7 @@ def test_ids_of_the_pieces(corpus):
 
 def test_limits_of_all_kinds():
     rng = random.Random(4)
-    packer = packing.Packer(0, 100, 4, 60)
+    packer = packing.Packer(0, 128, 4, 60)
     loads = {}
     for k in range(500):
         n = rng.randint(1, 250)
@@ -81,4 +86,54 @@ def test_limits_of_all_kinds():
         sequences[s].append((at, key, start, n))
     assert sum(n for p in sequences.values() for _, _, _, n in p) == sum(n for n, _ in loads.values())
     for p in sequences.values():
-        assert len(p) <= 4 and sum(x[3] for x in p) <= 100
+        size = sum(x[3] for x in p)
+        assert len(p) <= 4 and size <= 128 and size & (size - 1) == 0
+        assert sum(max(0, a + n - max(a, loads[k][0] - loads[k][1])) for _, k, a, n in p) <= 60
+    for key, (n, _) in loads.items():
+        at = 0
+        for a, m in sorted((a, m) for p in sequences.values() for _, k, a, m in p if k == key):
+            assert a == at
+            at += m
+        assert at == n
+
+
+def test_short_documents_are_not_padded():
+    for low, high in ((1, 1), (2, 2), (5, 5), (9, 9), (1, 20)):
+        rng, packer = random.Random(high), packing.Packer(0)
+        total = 0
+        for k in range(4000):
+            total += (n := rng.randint(low, high))
+            packer.add(k, n, n - 1)
+            if len(packer.keys) >= packing.WINDOW:
+                packer.place(False)
+        packer.place(True)
+        sizes = collections.Counter()
+        for _, _, n, s, _ in packer.out:
+            sizes[s] += n
+        assert sum(sizes.values()) == total and all(x & (x - 1) == 0 for x in sizes.values())
+        assert len(sizes) <= 2 * (total // min(1024, 64 * low) + 11)
+
+
+def test_answers_bear_the_loss(spark):
+    """Instruction data: prompts and answers, under a limit of loss-bearing tokens below the length."""
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").orderBy("conv_id", "turn").collect()]
+    pairs = [(i, (a.text or ""), (b.text or "")) for i, (a, b) in enumerate(zip(rows, rows[1:])) if a.role == "user" and b.role == "assistant" and a.conv_id == b.conv_id]
+    df = spark.createDataFrame([(i, f"{a}\n{b}", f"\n{b}") for i, a, b in pairs], "doc_id long, text string, answer string")
+    got = packing.pack_documents(df.coalesce(1), VOCABULARY, loss=256, bearing="answer").collect()
+    count = lambda x: len(FILE.encode(x, add_special_tokens=False).ids)
+    size = {i: (count(f"{a}\n{b}") + 1, count(f"\n{b}") + 1) for i, a, b in pairs}
+    loss, tokens_ = collections.Counter(), collections.Counter()
+    for r in got:
+        n, bears = size[r.doc_id]
+        assert r.doc_tokens == n
+        loss[r.sequence_id] += max(0, r.start + r.length - max(r.start, n - min(n, bears)))
+        tokens_[r.sequence_id] += r.length
+    assert max(loss.values()) <= 256 and sum(tokens_.values()) == sum(n for n, _ in size.values()) and 200 < max(loss.values())
+    assert all(x & (x - 1) == 0 for x in tokens_.values())
+
+
+def test_special_tokens():
+    text = "a <|endoftext|> b"
+    content = Path(VOCABULARY).read_text()
+    assert packing.Tokens(content).ids(text) == plain(None, text)
+    assert len(packing.Tokens(content, literal=True).ids(text)) > len(plain(None, text))

@@ -1,5 +1,6 @@
 import collections
 import math
+from pathlib import Path
 
 
 import corpus_pipeline
@@ -43,7 +44,7 @@ def test_stages_against_a_plain_version(spark, corpus, labels, tmp_path):
         taken[r.source] += len(r.text.split())
         assert r.n_chars == len(r.text)
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
-    tool = packing.Tokens(VOCABULARY)
+    tool = packing.Tokens(Path(VOCABULARY).read_text())
     tokens = sum(len(tool.ids(r.text)) // 4 + 1 for r in step[4].collect())
     rows = step[5].collect()
     assert sum(r.length for r in rows) == tokens
@@ -55,7 +56,7 @@ def test_stages_against_a_plain_version(spark, corpus, labels, tmp_path):
 def test_pieces_of_repeated_documents_hold_their_ids(spark, corpus):
     docs = corpus.limit(30).unionAll(corpus.limit(3)).coalesce(1)
     rows = corpus_pipeline.packing_sequences(spark, docs, "").collect()
-    tool = packing.Tokens(VOCABULARY)
+    tool = packing.Tokens(Path(VOCABULARY).read_text())
     ends = [list(memoryview(tool.ids(r.text) + b"\0\0\0\0").cast("I")) for r in docs.collect()]
     found = sorted(i for r in rows for i in r.ids)
     assert all(len(r.ids) == r.length for r in rows) and found == sorted(i for e in ends for i in e)
