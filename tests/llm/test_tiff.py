@@ -48,6 +48,61 @@ def test_faults():
     assert "ring" in list(tiff.read(bytes(ring)))[-1][2]
 
 
+@pytest.mark.parametrize("kind", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS])
+@pytest.mark.parametrize("tile", [None, (16, 32)])
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("fill", [1, 2])
+def test_other_samples(kind, tile, order, fill):
+    rng = np.random.default_rng(5)
+    whole = lambda *a, **k: [x for _, x, e in tiff.read(tiff.write(*a, kind=kind, tile=tile, order=order, fill=fill, **k))]
+    for dtype, predictors in ((np.uint32, (1, 2)), (np.int16, (1, 2)), (np.int32, (1, 2)), (np.float32, (1, 3)), (np.float16, (1, 3)), (np.float64, (1, 3))):
+        for shape in ((21, 37), (40, 20, 3)):
+            x = (rng.normal(0, 300, shape)).astype(dtype)
+            for predictor in predictors:
+                for planar in (1, 2):
+                    (y,) = whole([x], predictor=predictor, planar=planar, rows=9)
+                    assert y.dtype == x.dtype and (y == x.reshape(y.shape)).all()
+    for bits in (1, 2, 4):
+        x = rng.integers(0, 1 << bits, (19, 37, 3), dtype=np.uint8)
+        for planar in (1, 2):
+            assert (whole([x], bits=bits, planar=planar, rows=5)[0] == x).all()
+
+
+def test_no_changed_byte_leaves_a_fault_unsaid():
+    """Every byte of a header, a directory and its values, set to odd values: rows or an error, and no large array."""
+    rng = np.random.default_rng(7)
+    image = rng.integers(0, 9, (20, 33), dtype=np.uint8)
+    for kind, tile in ((tiff.DEFLATE, None), (tiff.LZW, (16, 16)), (tiff.PACKBITS, None), (tiff.NONE, (16, 16))):
+        good = tiff.write([image, image], kind, 2, tile, rows=7)
+        for at in range(len(good)):
+            for value in {0, 1, 2, 5, 127, 128, 255, good[at] ^ 1, good[at] ^ 128}:
+                bad = bytearray(good)
+                bad[at] = value
+                rows = list(tiff.read(bytes(bad)))
+                assert all((x is None) == (e is not None) for _, x, e in rows) and all(x is None or x.nbytes <= 4096 * 4 * len(good) for _, x, _ in rows)
+    for n in range(len(good)):
+        list(tiff.read(good[:n]))
+
+
+@pytest.mark.parametrize("tag", [tiff.STRIP_ROWS, tiff.WIDTH, tiff.LENGTH, tiff.SAMPLES, tiff.BITS, tiff.COMPRESSION])
+def test_fields_of_zero(tag):
+    good = tiff.write([np.ones((4, 4), np.uint8)])
+    at = good.index(struct.pack("<HH", tag, 3 if tag in (tiff.SAMPLES, tiff.BITS, tiff.COMPRESSION) else 4))
+    bad = good[: at + 8] + b"\0\0\0\0" + good[at + 12 :]
+    assert list(tiff.read(bad))[0][2]
+    assert list(tiff.read(tiff.write([np.ones((4, 4), np.uint8)], tiff.LZW).replace(tiff.lzw(b"\1" * 16), b"\xff" * len(tiff.lzw(b"\1" * 16)))))[0][2]
+
+
+def test_texts_are_dealt_to_all_decoders():
+    found = set()
+    for k in range(3000):
+        text = f"{k} some words of a text that has a few rows ".encode() * 9
+        tags = list(tiff.directories(media := tiff.of_text(text)))
+        found.add((tags[0][tiff.COMPRESSION][0], tiff.TILE_AT in tags[0], tags[0][tiff.PREDICTOR][0], len(tags)))
+        assert b"".join(x.tobytes() for _, x, _ in tiff.read(media)).rstrip(b"\0") == text
+    assert len(found) == 3 * 2 * 2 * 3
+
+
 def test_rows(spark):
     files = spark.createDataFrame([(1, bytearray(tiff.write([np.arange(12, dtype=np.uint8).reshape(3, 4)] * 2)), "x"), (2, None, "y"), (3, bytearray(b"junk"), "z")], "id long, content binary, page string")
     rows = {(r.key, r.page): r for r in tiff.pages(files, "id", "content").collect()}
