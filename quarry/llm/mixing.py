@@ -5,10 +5,13 @@ being shared again. Within a source a document's expected copies grow slowly wit
 so that the source's words meet its target. Whole copies are certain. For the rest, documents are
 ranked by the Pareto order: random odds u / (1 - u) over inclusion odds p / (1 - p), with u a hash of
 doc_id. The first ones are taken until the words are spent; the last one is taken in part. Ranks are
-cut into bins by source, so only one bin of a source is ever sorted.
+cut into bins by source, and the bin in which the words are spent into as many again, so only what
+stands in one of these is ever sorted, without texts. A source's last rank is sent to all tasks.
 
 Defined results: a null text has size 0 and is taken 0 times, a null source is a source of its own,
-the last one; documents of equal rank are ordered by doc_id; repeated rows count each; an empty table
+the last one; a null doc_id is replaced by a hash of the text in the odds; documents of equal odds are ordered by
+doc_id, then by a hash of the text. Rows that are equal in all these count each; if the words are spent among them,
+they share the rest equally, rounded down. An empty table
 gives an empty result; other columns are kept by ``mix``, but for those named size, source_size,
 target or taken, which it replaces.
 """
@@ -67,11 +70,18 @@ def expected(sizes: dict[int, int], target: float, cap: float = CAP, favour: flo
     return out
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, text: str | None = "text", seed: int = 42) -> DataFrame:
-    """``docs`` with size, source_size, target and taken (long, words). With ``text`` None the column size is given."""
+    """``docs`` with size, source_size, target and taken (long, words). With ``text`` None the columns size and text_hash are given."""
     spark = docs.sparkSession
-    docs = docs.withColumn("size", words(F.col(text))) if text else docs
-    lean = keep(docs.select("doc_id", "source", "size"), "sizes") if text else docs.select("doc_id", "source", "size")
+    given = [c for c in docs.columns if c != "size" or not text]
+    docs = docs.withColumn("size", words(F.col(text))).withColumn("_text", text_hash(F.col(text))) if text else docs.withColumn("_text", F.col("text_hash"))
+    docs = docs.withColumn("_id", F.col("doc_id"))
+    lean = docs.select("doc_id", "_id", "source", "size", "_text")
+    lean = keep(lean, "sizes") if text else lean
     klass = F.floor(F.log2(F.col("size") + 1.0)).cast("int")
     rows = lean.groupBy("source", klass.alias("class")).agg(F.sum("size").alias("words")).limit(64 * MAX_SOURCES + 1).collect()
     of: dict[str | None, dict[int, int]] = {}
@@ -84,35 +94,46 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], share, cap)
     plan = []
     for name, size, goal in zip(names, sizes, wanted):
-        copies = expected(of[name], goal, cap)
-        certain = sum(math.floor(copies[k]) * n for k, n in of[name].items())
-        plan += [(name, k, copies[k], size, float(goal), round(goal) - certain) for k in of[name]]
+        expected_ = expected(of[name], goal, cap)
+        certain = sum(math.floor(expected_[k]) * n for k, n in of[name].items())
+        plan += [(name, k, expected_[k], size, float(goal), round(goal) - certain) for k in of[name]]
     kind = docs.schema["source"].dataType.simpleString()
     few = (lambda x: F.broadcast(x)) if len(plan) <= BROADCAST_ROWS else (lambda x: x)
     plan = few(spark.createDataFrame(plan, f"_source {kind}, _class int, _copies double, source_size long, target double, _rest long"))
 
     def ranked(frame: DataFrame) -> DataFrame:
+        """With the odds, and two bins: ``_bin`` of BINS and ``_fine`` of BINS in each."""
         out = frame.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (klass == F.col("_class")))
-        u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) + 0.5) / float(1 << 53)
+        u = (F.shiftrightunsigned(F.when(F.col("_id").isNull(), F.xxhash64(F.lit(seed), "_text")).otherwise(F.xxhash64(F.lit(seed), "_id")), 11) + 0.5) / float(1 << 53)
         p = F.col("_copies") - F.floor("_copies")
-        odds = F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))
-        return out.withColumn("_odds", odds).withColumn("_bin", F.when(F.col("size") > 0, F.floor(F.col("_odds") / (1 + F.col("_odds")) * BINS).cast("int")))
-
-    bins = ranked(lean).filter("_bin IS NOT NULL").groupBy("_source", "_bin").agg(F.sum("size").alias("_words"), F.max("_rest").alias("_rest"))
-    up = Window.partitionBy("_source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)  # BINS rows at most
-    bins = bins.withColumn("_upto", F.sum("_words").over(up)).filter("_upto > _rest")
-    edge = bins.groupBy("_source").agg(F.min_by(F.struct("_bin", (F.col("_upto") - F.col("_words")).alias("_before")), "_bin").alias("_edge"))
-    edge = keep(edge.select(F.col("_source").alias("_at"), "_edge"), "edges")
-    all_ = ranked(docs).join(F.broadcast(edge), F.col("_source").eqNullSafe(F.col("_at")), "left")  # a row per source
-    certain = F.floor("_copies") * F.col("size")
-    at_edge = F.coalesce(F.col("_bin") == F.col("_edge._bin"), F.lit(False))
-    inside = F.col("_bin").isNotNull() & F.coalesce(F.col("_bin") < F.col("_edge._bin"), F.lit(True))
-    sure = all_.filter(~at_edge).withColumn("taken", certain + F.when(inside, F.col("size")).otherwise(F.lit(0)))
-    order = Window.partitionBy("_source").orderBy("_odds", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    cut = all_.filter(at_edge).withColumn("_sum", F.col("_edge._before") + F.sum("size").over(order) - F.col("size"))
-    cut = cut.withColumn("taken", certain + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_sum")))).drop("_sum")
-    out = [*docs.columns, "source_size", "target", F.col("taken").cast("long").alias("taken")]
-    return sure.select(*out).unionByName(cut.select(*out))
+        odds = F.when((p > 0) & (F.col("size") > 0), (u / (1 - u)) / (p / (1 - p)))
+        place = F.col("_odds") / (1 + F.col("_odds")) * BINS
+        return out.withColumn("_odds", odds).withColumn("_bin", F.floor(place)).withColumn("_fine", F.floor(place * BINS))
+
+    def spent(frame: DataFrame, by: str, before: Column) -> DataFrame:
+        """(_at, _edge: by, _before): of each source the first bin within which the words are spent, and the words before it."""
+        sums = frame.groupBy("_source", by).agg(F.sum("size").alias("_words"), F.max("_rest").alias("_rest"), F.max(before).alias("_start"))
+        up = Window.partitionBy("_source").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)  # BINS rows at most
+        sums = sums.withColumn("_upto", F.col("_start") + F.sum("_words").over(up)).filter("_upto > _rest")
+        edge = sums.groupBy("_source").agg(F.min_by(F.struct(F.col(by), (F.col("_upto") - F.col("_words")).alias("_before")), by).alias("_edge"))
+        return keep(edge.select(F.col("_source").alias("_at"), F.col(f"_edge.{by}").alias("_edge"), "_edge._before"), "edges")
+
+    at = F.col("_source").eqNullSafe(F.col("_at"))
+    draws = ranked(lean).filter("_odds IS NOT NULL")
+    edge = spent(draws, "_bin", F.lit(0))
+    inner = draws.join(F.broadcast(edge), at).filter("_bin = _edge").withColumnRenamed("_before", "_outer").drop("_at", "_edge")  # a row per source
+    fine = spent(inner, "_fine", F.col("_outer"))
+    last = inner.join(F.broadcast(fine), at).filter("_fine = _edge").groupBy("_source", "_odds", "_id", "_text").agg(F.sum("size").alias("_words"), F.count(F.lit(1)).alias("_n"), F.max("_rest").alias("_rest"), F.max("_before").alias("_before"))
+    rank = F.struct("_odds", "_id", "_text")
+    order = Window.partitionBy("_source").orderBy("_odds", "_id", "_text").rowsBetween(Window.unboundedPreceding, 0)
+    last = last.withColumn("_upto", F.col("_before") + F.sum("_words").over(order)).filter("_upto > _rest")
+    last = last.groupBy("_source").agg(F.min_by(F.struct(rank.alias("_rank"), F.floor((F.col("_rest") - F.col("_upto") + F.col("_words")) / F.col("_n")).alias("_part")), rank).alias("_last"))
+    last = keep(last.select(F.col("_source").alias("_at"), F.col("_last._rank").alias("_rank"), F.col("_last._part").alias("_part")), "last")
+    all_ = ranked(docs).join(F.broadcast(last), at, "left")  # a row per source
+    drawn = F.when(F.col("_odds").isNull(), F.lit(0)).when(F.col("_rank").isNull() | (rank < F.col("_rank")), F.col("size")).when(rank == F.col("_rank"), F.least(F.col("size"), F.greatest(F.lit(0), F.col("_part")))).otherwise(F.lit(0))
+    taken = F.floor("_copies") * F.col("size") + drawn
+    columns = [c for c in given if c not in ("size", "source_size", "target", "taken")]
+    return all_.select(*columns, "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def copies(mixed: DataFrame, text: str = "text") -> DataFrame:

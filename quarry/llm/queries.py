@@ -61,7 +61,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sized = keep(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size")), "sizes")
+    sized = keep(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"), mixing.text_hash(F.col("text")).alias("text_hash")), "sizes")
     return mixing.mix(sized, text=None).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -93,3 +93,22 @@ def test_copies(spark, corpus, empty):
     one = spark.createDataFrame([(1, "  a b\n c ", 5, 3)], "doc_id long, text string, taken long, size long")
     assert [r.text for r in mixing.copies(one).collect()] == ["  a b\n c ", "a b"]
     assert mixing.mix(spark.createDataFrame([(1, None, None)], "doc_id long, source string, text string")).select(F.sum("taken")).first()[0] == 0
+
+
+def test_null_ids_and_repeated_rows(spark):
+    """Rows of null doc_id are told apart by their texts; reruns with other partitions take the same."""
+    rows = [(None, "s", " ".join(f"w{i}" for i in range(5 + k % 7)) + f" {k}") for k in range(59)] + [(7, "s", "a b c d")] * 9 + [(None, "t", None), (None, None, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    key = lambda r: (r.text or "", r.taken)
+    want = sorted(map(key, mixing.mix(df).collect()))
+    assert all(sorted(map(key, mixing.mix(df.repartition(n)).collect())) == want for n in (1, 5))
+    part = [r for r in mixing.mix(df).collect() if r.source == "s"]
+    assert abs(sum(r.taken for r in part) - part[0].target) <= 9
+
+
+def test_ranks_of_one_bin_are_cut_again(corpus, monkeypatch):
+    key = lambda r: (r.doc_id, r.taken)
+    want = sorted(map(key, mixing.mix(corpus).collect()))
+    for bins in (1, 3):
+        monkeypatch.setattr(mixing, "BINS", bins)
+        assert sorted(map(key, mixing.mix(corpus).collect())) == want
