@@ -35,6 +35,8 @@ from .store import keep
 ARCHIVE = 8_000_000
 #: Revisits, of about 100 bytes each, up to which they are broadcast to the pages.
 BROADCAST_ROWS = 100_000
+#: Pages of one payload from which they are joined by a broadcast.
+HOT = 10_000
 #: Payloads from so many bytes on are told apart by digest.
 LEAST = 0
 
@@ -173,11 +175,21 @@ def _payload() -> Column:
     return F.encode(F.coalesce("html", F.lit("")), "UTF-8")
 
 
-def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(page_id, sha1, refers_to) of the pages whose payload a page with a larger page_id has too."""
+def revisits(pages: DataFrame, least: int = LEAST, hot: int = HOT) -> DataFrame:
+    """(page_id, sha1, refers_to) of the pages whose payload a page with a larger page_id has too.
+
+    Payloads that over ``hot`` pages share are joined by a broadcast, so that their pages don't meet in one
+    task; ``hot`` doubles until there are at most BROADCAST_ROWS of them.
+    """
     own = keep(pages.select("page_id", F.sha1(_payload()).alias("sha1"), F.length(_payload()).alias("bytes")).filter(F.col("bytes") >= least), "digests")
-    many = own.groupBy("sha1", "bytes").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return own.join(many, ["sha1", "bytes"]).filter("page_id < refers_to").select("page_id", "sha1", "refers_to").distinct()
+    many = own.groupBy("sha1", "bytes").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    many = keep(many, "shared")
+    while many.filter(F.col("n") > hot).count() > BROADCAST_ROWS:
+        hot *= 2
+    top, rest = many.filter(F.col("n") > hot).drop("n"), many.filter(F.col("n") <= hot).drop("n")
+    named = own.join(F.broadcast(top.withColumnRenamed("refers_to", "_top")), ["sha1", "bytes"], "left")
+    found = named.filter("_top IS NOT NULL").withColumnRenamed("_top", "refers_to").unionByName(named.filter("_top IS NULL").drop("_top").join(rest, ["sha1", "bytes"]))
+    return found.filter("page_id < refers_to").select("page_id", "sha1", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, size: int = ARCHIVE, level: int = 1) -> DataFrame:
