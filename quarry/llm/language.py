@@ -10,7 +10,7 @@ Training counts the trigrams of every document that carries a language and is no
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0.0 and no span, as is
 every text if nothing was learned; equal shares take the first language by code point; repeated rows
-are labelled alike; an empty table gives an empty result; other columns are ignored by ``identify``
+are labelled alike; a row without doc_id counts as held out; an empty table gives an empty result; other columns are ignored by ``identify``
 and passed through by ``keep_identified``.
 """
 
@@ -195,7 +195,8 @@ def label(block: scan.Block, model: dict, switch: float = SWITCH) -> tuple[np.nd
 
 
 def _all(batch: pa.RecordBatch, model: dict, switch: float) -> Iterator[tuple]:
-    for row, block in scan.blocks(batch.column("text"), lower=True, size=BLOCK):
+    size = max(1 << 16, BLOCK * 8 // max(8, len(model["names"])))  # the scores of a block's words grow with the languages
+    for row, block in scan.blocks(batch.column("text"), lower=True, size=size):
         yield row, block, *label(block, model, switch)
 
 
@@ -241,4 +242,4 @@ def keep_identified(docs: DataFrame, model: dict, least: float = 0.5, switch: fl
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(True))

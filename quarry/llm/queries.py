@@ -45,7 +45,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = language.held_out(F.col("doc_id"))
     model = language.learn(language.learnable(docs, out))
-    return language.identify(docs, model, spans=False).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+    return language.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "spans")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
