@@ -4,6 +4,7 @@ from pathlib import Path
 
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from quarry.llm import mixing, packing, simhash
 from quarry.llm.queries import VOCABULARY
 
@@ -60,3 +61,27 @@ def test_pieces_of_repeated_documents_hold_their_ids(spark, corpus):
     ends = [list(memoryview(tool.ids(r.text) + b"\0\0\0\0").cast("I")) for r in docs.collect()]
     found = sorted(i for r in rows for i in r.ids)
     assert all(len(r.ids) == r.length for r in rows) and found == sorted(i for e in ends for i in e)
+
+
+def test_nulls_empties_long_texts_repeats_and_clashing_names(spark, corpus, awkward, labels, empty, tmp_path):
+    """Rows of all odd kinds among clean ones; columns named like inner ones; no crash, and each stage's defined result."""
+    plain = corpus.filter("doc_id % 20 NOT IN (7, 9)").limit(60)
+    clean = plain.select(F.lit(None).cast("long").alias("doc_id"), F.concat("text", F.lit(" "), F.reverse("text")).alias("text"), "lang", "source", "n_chars").limit(3)
+    some = plain.unionByName(clean).unionByName(plain.limit(4))  # null ids and repeated rows
+    docs = some.unionByName(awkward, allowMissingColumns=True)
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/a/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    step = [docs]
+    for name, f in corpus_pipeline.STAGES[:4]:
+        step.append(f(spark, step[-1], f"{tmp_path}/a").persist())
+        assert step[-1].columns == docs.columns, name
+    texts = [sorted((r.doc_id is None, r.doc_id, r.text or "") for r in s.select("doc_id", "text").collect()) for s in step]
+    lettered = [t for t in texts[0] if any(c.isalpha() for c in t[2])]
+    assert texts[1] == lettered or set(texts[1]) <= set(lettered)
+    assert len(texts[3]) == len(set(texts[3])) == len(set(t[2] for t in texts[2]))  # equal rows once, no other text lost here
+    assert sum(t[0] for t in texts[3]) == 3  # clean rows of null ids stay
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() > 0
+    empty.write.parquet(f"{tmp_path}/b/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
