@@ -40,7 +40,7 @@ SEGMENTS = 64
 #: Items that are placed together.
 WINDOW = 2048
 #: Distinct stretches of which a worker remembers the ids, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 30_000
 
 _DOUBLE = re.compile(r" \s")
 
@@ -256,7 +256,7 @@ def pack_documents(
                     else:
                         del held[row]
                     row += 1
-                    if len(made) >= 4096:
+                    if len(made) >= 1024:
                         yield from flush()
                 if len(packer.keys) >= WINDOW:
                     packer.place(False)
