@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.cut import cut
+from ..plans.quantiles import quantiles
 
 # Names, ranges and options of the parameters.
 RANGES = {
@@ -91,10 +92,9 @@ def train(
         raise ValueError(f"unknown objective {objective}")
     buckets = max(2, math.ceil(1 / sketch_eps))
     model = start or Boosted(base_score, [], objective)
-    at = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
     clean = lambda f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double"))
-    found = df.agg(*(F.percentile(clean(f), at).alias(f) for f in features)).first()
-    splits = {f: sorted(set(found[f] or [])) for f in features}
+    found = quantiles(df, {f: clean(f) for f in features}, [i / buckets for i in range(1, buckets)])
+    splits = {f: sorted({x for x in found[f] if x is not None}) for f in features}
 
     def bucket(f: str) -> Column:
         x = clean(f)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.cut import cut
-from ..plans.ordered import running
+from ..plans.quantiles import modes, quantiles
 from ..schema import known, numeric_columns, require
 
 
@@ -28,7 +26,7 @@ def kurtosis(c: Column) -> Column:
 
 AGGREGATES = {
     "count": F.count, "nunique": F.count_distinct, "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)), "min": F.min, "max": F.max, "mean": F.avg, "var": F.var_samp, "std": F.stddev_samp,
-    "sem": lambda c: F.stddev_samp(c) / F.sqrt(F.count(c)), "skew": skew, "kurtosis": kurtosis, "mode": lambda c: F.mode(c, True), "median": F.median,
+    "sem": lambda c: F.stddev_samp(c) / F.sqrt(F.count(c)), "skew": skew, "kurtosis": kurtosis,
 }
 NUMERIC_ONLY = {"sum", "mean", "var", "std", "sem", "skew", "kurtosis", "median"}
 
@@ -37,39 +35,25 @@ def column_stats(df: DataFrame, functions: list[str], columns: list[str] | None
     """One row per column: its name and the functions' values as doubles (text for mode, min, max of text columns is null)."""
     names = numeric_columns(df) if columns is None else columns
     require(df, *names)
-    wide = df.agg(*(AGGREGATES[f](known(df, c)).cast("double").alias(f"{c}\x01{f}") for c in names for f in functions))
+    own = {c: known(df, c) for c in names}
+    found = {"median": {c: v[0] for c, v in quantiles(df, own, [0.5]).items()} if "median" in functions else {}, "mode": modes(df, own) if "mode" in functions else {}}
+    wide = df.agg(F.count(F.lit(1)).alias("\x01rows"), *(AGGREGATES[f](known(df, c)).cast("double").alias(f"{c}\x01{f}") for c in names for f in functions if f in AGGREGATES))
+    wide = wide.withColumns({f"{c}\x01{f}": F.lit(v).cast("double") for f, values in found.items() for c, v in values.items()})
     rows = [F.struct(F.lit(c).alias("column"), *(F.col(f"`{c}\x01{f}`").alias(f) for f in functions)) for c in names]
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def quantile(df: DataFrame, q: list[float], columns: list[str] | None = None) -> DataFrame:
-    """(column, q, value): exact, interpolated linearly. All columns take one pass."""
+    """(column, q, value): exact, interpolated linearly, for any number of distinct values."""
     names = columns or numeric_columns(df)
-    wide = df.agg(*(F.percentile(known(df, c), F.array(*(F.lit(x) for x in q))).alias(c) for c in names))
-    rows = [F.struct(F.lit(c).alias("column"), F.lit(x).alias("q"), F.col(f"`{c}`")[i].alias("value")) for c in names for i, x in enumerate(q)]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    require(df, *names)
+    found = quantiles(df, {c: known(df, c) for c in names}, q)
+    return df.sparkSession.createDataFrame([(c, float(x), v) for c in names for x, v in zip(q, found[c])], "column string, q double, value double")
 
 
 def quantile_by_counts(df: DataFrame, column: str, q: list[float]) -> dict[float, float | None]:
-    """As ``quantile`` for one column with any number of distinct values: counted by value, summed up by ranges.
-
-    Only the two values around each quantile reach the driver.
-    """
-    counts = df.select(known(df, column).cast("double").alias("value")).filter("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    upto = cut(running(counts, [F.col("value")], {"upto": F.col("n")}), "quantiles")
-    total = upto.agg(F.max("upto")).first()[0]
-    if not total:
-        return dict.fromkeys(q)
-    spots = sorted({f(x * (total - 1)) for x in q for f in (math.floor, math.ceil)})
-    hit = reduce(lambda a, b: a | b, ((F.col("upto") > i) & (F.col("upto") - F.col("n") <= i) for i in spots))
-    rows = upto.filter(hit).collect()
-    at = lambda i: next(r["value"] for r in rows if r["upto"] - r["n"] <= i < r["upto"])
-    out = {}
-    for x in q:
-        p = x * (total - 1)
-        low, high = at(math.floor(p)), at(math.ceil(p))
-        out[x] = low + (high - low) * (p - math.floor(p))
-    return out
+    """As ``quantile`` for one column, by counts of its values over ranges whatever their number."""
+    return dict(zip(q, quantiles(df, {column: known(df, column)}, q, held=-1)[column]))
 
 
 def value_counts(df: DataFrame, column: str, normalize: bool = False) -> DataFrame:
@@ -96,7 +80,7 @@ def noisy_combine(parts: list[DataFrame], column: str, scale: float, seed: int =
 def united(parts: list[DataFrame], column: str) -> DataFrame:
     """mean, population variance and exact median of one column over several tables."""
     rows = reduce(lambda a, b: a.unionAll(b), (p.select(known(p, column).cast("double").alias("x")) for p in parts))
-    return rows.agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var"), F.median("x").alias("median"))
+    return rows.agg(F.avg("x").alias("mean"), F.var_pop("x").alias("var")).withColumn("median", F.lit(quantiles(rows, {"x": F.col("x")}, [0.5])["x"][0]).cast("double"))
 
 
 def compare(parts: list[DataFrame], column: str) -> DataFrame:

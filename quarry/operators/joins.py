@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import require
+from ..schema import require, tag
 
 HOW = {"inner": "inner", "left": "left", "right": "right", "full": "full"}
 #: Rows of the client side up to which it is broadcast.
@@ -33,7 +33,8 @@ def psi(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[str], how: s
     """The matching rows with the columns of both sides, or of the ``receiver`` ("a" or "b") alone.
 
     ``how``: inner, left, right, full, or difference (rows of either side without a partner). A side
-    that is not ``duplicated`` must not repeat a key. Column names must differ between the sides.
+    that is not ``duplicated`` must not repeat a key. Column names must differ between the sides. Key
+    columns are ids of the result.
     """
     require(a, *keys_a)
     require(b, *keys_b)
@@ -53,6 +54,7 @@ def psi(a: DataFrame, b: DataFrame, keys_a: list[str], keys_b: list[str], how: s
         out = out.select(*(a if receiver == "a" else b).columns)
     if not allow_empty and out.isEmpty():
         raise ValueError("no key matches")
+    out = tag(out, kinds={c: "id" for c in (*keys_a, *keys_b) if c in out.columns})
     shown = [F.coalesce(*(F.col(c) for c in pair if c in out.columns)) for pair in zip(keys_a, keys_b) if set(pair) & set(out.columns)]
     return out.orderBy(*shown) if sort and shown else out
 
@@ -73,11 +75,14 @@ def cache_keys(server: DataFrame, keys: list[str], path: str) -> str:
     return path
 
 
-def unbalanced_psi(client: DataFrame, server: DataFrame, keys_client: list[str], keys_server: list[str], how: str = "inner", sort: bool = True, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A small client against a large server. The client is broadcast if it has at most ``most`` rows, else the join shuffles."""
-    small = client.limit(most + 1).count() <= most
-    side = F.broadcast(client) if small else client
-    out = psi(side, server, keys_client, keys_server, how if how != "left" or not small else "left", sort=False)
+def unbalanced_psi(client: DataFrame, server: DataFrame | str, keys_client: list[str], keys_server: list[str], how: str = "inner", sort: bool = True, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A small client against a large server, or against the cache of one that ``cache_keys`` wrote.
+
+    The client is broadcast if it has at most ``most`` rows and need not be kept whole, else the join shuffles.
+    """
+    server = client.sparkSession.read.parquet(server) if isinstance(server, str) else server
+    small = how in ("inner", "right") and client.limit(most + 1).count() <= most
+    out = psi(F.broadcast(client) if small else client, server, keys_client, keys_server, how, sort=False)
     return out.orderBy(*keys_client) if sort else out
 
 

@@ -120,3 +120,18 @@ def shuffled(df: DataFrame, seed: int = 0) -> DataFrame:
 def ranks_within(df: DataFrame, by: list[str], key: list[str], seed: int = 0) -> Column:
     """The rank of each row of its group in a seeded order."""
     return F.row_number().over(Window.partitionBy(*by).orderBy(draw(key, seed), *key))
+
+
+def sample(df: DataFrame, key: list[str], algorithm: str = "random", frac: float = 0.1, seed: int = 0, replacement: bool = False, column: str | None = None, quantiles: list[float] | None = None, weights: list[float] | None = None) -> tuple[DataFrame, list[dict]]:
+    """A sample by ``algorithm`` (random, system or stratified) and its report: rows before and after, in all and by bucket."""
+    if algorithm == "random":
+        out, report = random_sample(df, key, frac, seed, replacement), []
+    elif algorithm == "system":
+        out, report = system_sample(df, frac), []
+    elif algorithm == "stratified":
+        if column is None or not quantiles:
+            raise ValueError("a stratified sample needs a column and quantiles")
+        out, report = stratified_sample(df, key, column, quantiles, frac, seed, weights)
+    else:
+        raise ValueError(f"unknown algorithm {algorithm}")
+    return out, [{"bucket": "all", "before": df.count(), "after": out.count()}, *report]

@@ -54,7 +54,7 @@ def standard() -> Registry:
     r = Registry()
     fit = lambda cls: lambda df, **p: (lambda rule: (rule.apply(df), rule))(cls.fit(df, **p) if hasattr(cls, "fit") else cls(**p))
     for name, f in {
-        "data_filter/condition_filter": filters.condition_filter, "data_filter/expr_condition_filter": filters.expr_filter, "data_filter/feature_filter": filters.feature_filter, "data_filter/sample": sampling.random_sample,
+        "data_filter/condition_filter": filters.condition_filter, "data_filter/expr_condition_filter": filters.expr_filter, "data_filter/feature_filter": filters.feature_filter, "data_filter/sample": sampling.sample,
         "data_prep/train_test_split": sampling.train_test_split, "data_prep/union": joins.union, "data_prep/psi": joins.psi, "data_prep/psi_tp": joins.psi3, "data_prep/unbalance_psi": joins.unbalanced_psi,
         "preprocessing/substitution": base.substitution, "preprocessing/binary_op": fit(columns.BinaryOp), "preprocessing/case_when": fit(columns.CaseWhen), "preprocessing/cast": fit(columns.Cast),
         "preprocessing/feature_calculate": fit(columns.FeatureCalculate), "preprocessing/fillna": fit(columns.FillNA), "preprocessing/onehot_encode": fit(columns.OneHot), "preprocessing/vert_binning": fit(binning.Bins),

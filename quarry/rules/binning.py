@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.quantiles import quantiles
 from ..schema import known, require
 from .base import Rule
 
@@ -19,13 +20,8 @@ MOST_CATEGORIES = 10_000
 
 def quantile_splits(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[float]]:
     """Inner cut points at the quantiles i / bins, interpolated linearly, doubles dropped."""
-    at = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    row = df.agg(*(F.percentile(known(df, c), at).alias(c) for c in columns)).first()
-    out = {}
-    for c in columns:
-        edges = sorted(set(row[c] or []))
-        out[c] = edges[1:-1]
-    return out
+    found = quantiles(df, {c: known(df, c) for c in columns}, [i / bins for i in range(bins + 1)])
+    return {c: sorted({x for x in found[c] if x is not None})[1:-1] for c in columns}
 
 
 def range_splits(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[float]]:

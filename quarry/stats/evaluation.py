@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import running
+from ..plans.quantiles import quantiles
 
 
 def _scored(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -47,7 +48,7 @@ def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def bin_edges(df: DataFrame, score: str, buckets: int, frequent: bool) -> list[float]:
     if frequent:
-        return list(df.agg(F.percentile(F.col(score).cast("double"), F.array(*(F.lit(i / buckets) for i in range(buckets + 1))))).first()[0])
+        return quantiles(df, {score: F.col(score).cast("double")}, [i / buckets for i in range(buckets + 1)])[score]
     low, high = df.agg(F.min(score).cast("double"), F.max(score).cast("double")).first()
     return [low + (high - low) * i / buckets for i in range(buckets + 1)]
 
@@ -56,7 +57,7 @@ def bin_table(df: DataFrame, label: str, score: str, buckets: int = 10, frequent
     """Bins from the highest score: counts, rates, and figures of all scores from the bin's start on.
 
     Bins are [a, b), the last one closed; empty ones have zeros and leave the running totals alone. A
-    bin of under ``least`` rows is an error.
+    bin of under ``least`` rows tells its edges only, its other figures are None; it counts in the running totals.
     """
     rows = _scored(df, label, score)
     edges = bin_edges(rows, "score", buckets, frequent)
@@ -67,8 +68,6 @@ def bin_table(df: DataFrame, label: str, score: str, buckets: int = 10, frequent
     for b in reversed(range(buckets)):
         r = held.get(b)
         n, p, mean = (r["n"], r["p"], r["mean"]) if r else (0, 0.0, 0.0)
-        if n < least:
-            raise ValueError(f"bin {b} has {n} rows")
         tp, fp = tp + p, fp + n - p
         recall, fpr = tp / positive if positive else 0.0, fp / (total - positive) if total > positive else 0.0
         precision = tp / (tp + fp) if tp + fp else 0.0
@@ -79,6 +78,8 @@ def bin_table(df: DataFrame, label: str, score: str, buckets: int = 10, frequent
                 "f1": 2 * precision * recall / (precision + recall) if precision + recall else 0.0, "lift": precision / (positive / total) if positive else 0.0, "share": n / total if total else 0.0,
             }
         )
+        if n < least:
+            out[-1] |= dict.fromkeys(out[-1].keys() - {"start", "end"})
     return out
 
 

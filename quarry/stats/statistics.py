@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import kurtosis, skew
+from ..plans.quantiles import quantiles
 from ..rules import binning
 from ..schema import known, numeric_columns, require
 
 
-def _figures(c: Column) -> dict[str, Column]:
+def _figures(c: Column, quartiles: list[float | None]) -> dict[str, Column]:
     """NaN is null already. The na ratio needs the rows."""
     n, mean = F.count(c).cast("double"), F.avg(c)
     moment = lambda k: F.avg(F.pow(c, F.lit(float(k))))
@@ -21,22 +22,23 @@ def _figures(c: Column) -> dict[str, Column]:
     central = {2: m2 - mean * mean, 3: m3 - 3 * mean * m2 + 2 * F.pow(mean, F.lit(3.0)), 4: m4 - 4 * mean * m3 + 6 * mean * mean * m2 - 3 * F.pow(mean, F.lit(4.0))}
     out = {"total_count": F.count(F.lit(1)).cast("double"), "count": n, "count_na": (F.count(F.lit(1)) - F.count(c)).cast("double"), "na_ratio": (F.count(F.lit(1)) - F.count(c)) / F.count(F.lit(1))}
     out |= {"min": F.min(c), "max": F.max(c), "mean": mean, "var": F.var_samp(c), "std": F.stddev_samp(c), "sem": F.stddev_samp(c) / F.sqrt(n), "skewness": skew(c), "kurtosis": kurtosis(c)}
-    out |= {name: F.percentile(c, F.lit(q)) for name, q in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))}
+    out |= {name: F.lit(q) for name, q in zip(("q1", "q2", "q3"), quartiles)}
     out |= {"moment_2": m2, "moment_3": m3, "moment_4": m4} | {f"central_moment_{k}": v for k, v in central.items()}
     return out | {"sum": F.sum(c), "sum_2": F.sum(F.pow(c, F.lit(2.0))), "sum_3": F.sum(F.pow(c, F.lit(3.0))), "sum_4": F.sum(F.pow(c, F.lit(4.0))), "nunique": F.count_distinct(c).cast("double")}
 
 
 def table_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row per column: type and the figures as doubles; of text columns the counts only. One pass for all numeric columns."""
+    """One row per column: type and the figures as doubles; of text columns the counts only. Quartiles are exact and take a pass of their own."""
     columns = columns or df.columns
     require(df, *columns)
     kinds, numeric = dict(df.dtypes), set(numeric_columns(df))
     aggregates, rows = [], []
-    names = list(_figures(F.lit(0.0)))
+    names = list(_figures(F.lit(0.0), [0.0] * 3))
+    quartiles = quantiles(df, {c: known(df, c).cast("double") for c in columns if c in numeric}, [0.25, 0.5, 0.75])
     for c in columns:
         x = known(df, c)
         if c in numeric:
-            some = _figures(x.cast("double"))
+            some = _figures(x.cast("double"), quartiles[c])
         else:
             some = {"total_count": F.count(F.lit(1)).cast("double"), "count": F.count(x).cast("double"), "count_na": (F.count(F.lit(1)) - F.count(x)).cast("double"), "na_ratio": (F.count(F.lit(1)) - F.count(x)) / F.count(F.lit(1)), "nunique": F.count_distinct(x).cast("double")}
         aggregates += [e.alias(f"{c}\x01{k}") for k, e in some.items()]

@@ -22,11 +22,11 @@ def test_gaussian_process_learns_from_all_rows_and_values(spark, monkeypatch):
 
 
 def test_neighbours_by_the_whole_vector(spark):
-    found, want = rows_of(spark, "nearest_neighbours_whole")
+    found, want = rows_of(spark, "nearest_neighbours")
     assert found == want
 
 
-@pytest.mark.parametrize("name", ["psi_full_whole", "psi_difference_whole", "psi_three_whole"])
+@pytest.mark.parametrize("name", ["psi_full", "psi_difference", "psi_three"])
 def test_joins_of_whole_tables(spark, name):
     found, want = rows_of(spark, name)
     assert found == want and found
