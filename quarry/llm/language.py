@@ -34,7 +34,7 @@ SWITCH = 12.0
 #: Share of a language's letters from which a script counts as its own.
 SCRIPT_SHARE = 0.002
 #: Bytes of text that are decoded together.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 
 # First and last code point of the blocks of each script, from Unicode's Blocks.txt.
 SCRIPTS = {

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE, BANDS, CONTAINED = 5, 48, 0.8
+#: Characters of templates, times BANDS, up to which their table is broadcast.
+SENT = 50_000_000
 
 # Notices as licences ask for them or as they are commonly written.
 TEMPLATES = {
@@ -96,7 +98,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     table = table.select("license", n.alias("n"), shingles(F.col("w"), F.lit(0), n).alias("own"))
     table = table.select("license", "own", F.size(F.array_distinct("own")).alias("n"), F.greatest(F.lit(1), F.pow(F.lit(2), F.ceil(F.log2(1.25 * F.col("n"))))).cast("int").alias("m"))
     sizes = sorted({klass(len(_plain(v)) - SHINGLE + 1) for v in templates.values()})
-    table = F.broadcast(table.select("license", "own", "n", "m", F.posexplode(signature(F.col("own"))).alias("band", "value")))  # BANDS rows a template
+    table = table.select("license", "own", "n", "m", F.posexplode(signature(F.col("own"))).alias("band", "value"))
+    table = F.broadcast(table) if BANDS * sum(map(len, templates.values())) <= SENT else table  # BANDS rows a template, each with its shingles
 
     low = F.lower("text")
     some = F.lit(False)
