@@ -18,9 +18,10 @@ def with_position(df: DataFrame, name: str = "_rid") -> DataFrame:
     base, total = {}, 0
     for p, n in sorted((r["p"], r["count"]) for r in counts):
         base[p], total = total, total + n
-    offsets = F.array(*(F.lit(base.get(i, 0)).cast("long") for i in range(max(base, default=0) + 1)))
+    offsets = df.sparkSession.createDataFrame(sorted(base.items()), "_part_id int, _offset long")  # a row for each partition
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return df.withColumn(name, within + F.element_at(offsets, F.spark_partition_id() + 1))
+    rows = df.select("*", within.alias("_within"), F.spark_partition_id().alias("_of"))
+    return rows.join(F.broadcast(offsets), F.col("_of") == F.col("_part_id")).select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_within") + F.col("_offset")).alias(name))
 
 
 def _ranges(df: DataFrame, order: list[Column], partitions: int | None) -> tuple[DataFrame, list[str]]:

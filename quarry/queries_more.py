@@ -12,18 +12,18 @@ from .ml import linear, neighbours
 from .operators import aggregates, joins, sampling
 from .operators.frame import Table
 from .plans.components import standard
-from .plans.cut import cut
+from .plans.cut import shared_path
 from .plans.sql_processor import run_sql
 from .queries import _LABELLED, Tables, _labelled, query, r6, rounded
 from .rules import binning, columns
 from .rules.base import Rule
 from .sources import tables
 from .stats import evaluation, statistics
+from .streaming import streams
 
 
 def _folder(t: Tables) -> str:
-    """A new folder in the place for tables that are written."""
-    return f"{cut(t.spark.range(1), 'folder').inputFiles()[0].rpartition('/')[0]}/{uuid.uuid4().hex[:8]}"
+    return shared_path(t.spark, "folder")
 
 
 # functions of the SQL front end
@@ -322,6 +322,25 @@ def sigmoid_more_kinds(t: Tables) -> DataFrame:
     return t.events.select("event_id", *(r6(linear.sigmoid(x, k), k) for k in ("seg3", "df")), *(F.round(linear.sigmoid(x, k), 4).alias(k) for k in ("t3", "t5")))
 
 
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2 HAVING date_trunc('hour', any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def stream_windows(t: Tables) -> DataFrame:
+    """Event-time windows of a stream, given out once the watermark, a day behind, has passed their end."""
+    source = streams.read(t.spark, f"{t.dir}/events.parquet*", t.events.schema)
+    source = source.withColumn("ts", F.col("ts").cast("timestamp"))
+    out = streams.tumbling(source, "ts", "1 hour", ["event_type"], late="1 day", n=F.count(F.lit(1)))
+    return streams.drain(out, f"windows_{uuid.uuid4().hex[:8]}").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query("SELECT event_id, value > 50 AS hit FROM events")
+def stream_both_sides(t: Tables) -> DataFrame:
+    """Both outputs of a filter on a stream, written batch by batch."""
+    source = streams.read(t.spark, f"{t.dir}/events.parquet*", t.events.schema)
+    hits, rest, state = (shared_path(t.spark, x) for x in ("hits", "rest", "state"))
+    streams.split_batches(source, "value", ">", "50", hits, rest, state).awaitTermination()
+    side = lambda path, hit: t.spark.read.parquet(path).select("event_id", F.lit(hit).alias("hit"))
+    return side(hits, True).unionAll(side(rest, False))
+
+
 @query("SELECT o_orderkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
 def psi_unbalanced_cached(t: Tables) -> DataFrame:
     """The offline phase deals the server's rows by key; the online one reads them."""

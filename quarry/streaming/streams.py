@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.filters import predicate
+from ..plans.cut import shared_path
 from ..rules.base import Rule
 
 
@@ -65,10 +66,19 @@ def split_batches(stream: DataFrame, column: str, comparator: str, bound: str |
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What a stream gives until its present input ends, as a table in memory; for tests and bounded results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """What a stream gives until its present input ends: written to Parquet in the shared folder and read from there.
+
+    The mode complete replaces its rows with each batch; as it needs a bounded result anyway, that one is held in memory.
+    """
+    spark = stream.sparkSession
+    if mode != "append":
+        query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.table(name)
+    path = shared_path(spark, name)
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def stateful(stream: DataFrame, by: list[str], f: Callable, output: str, state: str, mode: str = "append") -> DataFrame:
