@@ -27,8 +27,18 @@ def test_remembered_ids_are_the_tokenizers_ids(tool, corpus):
     odd = ["", " ", "  ", "a  b", " a", "a ", "\n\n a", "a\n b", "a \nb", "a\n \nb", "x  y", "<|endoftext|> a", "it's don't 'll  x", "\t a\t b", "a\x85 b", "1 2 33 !! ??", "日本 語", "\x1c \x1c a \x00", "é e"]
     rng = random.Random(2)
     odd += ["".join(rng.choice(" \n\tab1.,'é日  \x1f") for _ in range(40)) for _ in range(300)]
+    slow = packing.Tokens(Path(VOCABULARY).read_text())
+    slow.ranked, slow.one = None, slow._slow  # as if the file were not of tiktoken's kind
+    assert tool.ranked
     for text in odd + [r.text for r in corpus.limit(40).collect()]:
-        assert tool.ids(text) == plain(tool, text), repr(text)
+        assert tool.ids(text) == slow.ids(text) == plain(tool, text), repr(text)
+
+
+def test_all_texts_of_a_table(tool, spark):
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        assert tool.ids(r.text or "") == plain(tool, r.text or "")
+    for text in ("x" * 50_000, " " * 20_000 + "a", "a\n" * 20_000, "é" * 20_000, "12" * 10_000):
+        assert tool.ids(text) == plain(tool, text)
 
 
 def verify(rows, ids, length=packing.LENGTH, segments=packing.SEGMENTS):
