@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import carry, with_position
+from ..plans.ordered import carry, running, with_position
 from ..schema import columns_of, is_float, known, numeric_columns, party_of, require
 from . import aggregates
 
@@ -99,7 +99,7 @@ class Table:
     def fillna(self, value: object | dict | None = None, method: str | None = None, limit: int | None = None, order: list[str] | None = None) -> Table:
         """By a value for all or some columns, or by the neighbour before (ffill) or after (bfill), up to ``limit`` rows away.
 
-        Neighbours go by ``order``, or by position. With a ``limit`` one task sorts and passes all rows.
+        Neighbours go by ``order``, or by position; rows are dealt by ranges of it.
         """
         if method is None:
             values = value if isinstance(value, dict) else dict.fromkeys(self.columns, value)
@@ -109,13 +109,12 @@ class Table:
         keys = [F.col(c) for c in order or ["_rid"]]
         if limit is None:
             return Table(carry(rows.select(*(known(rows, c).alias(c) for c in rows.columns)), keys, self.columns, method == "ffill")[self.columns])
-        if method == "ffill":
-            window = Window.orderBy(*keys).rowsBetween(-limit, 0)
-            pick = F.last
-        else:
-            window = Window.orderBy(*keys).rowsBetween(0, limit)
-            pick = F.first
-        return Table(rows.select(*(pick(known(self.df, c), ignorenulls=True).over(window).alias(c) for c in self.columns)))
+        # the position of the value that is carried tells how far it came
+        placed = running(rows.withColumn("_one", F.lit(1)), keys, {"_place": F.col("_one")})
+        spots = {c: f"_at_{i}" for i, c in enumerate(self.columns)}
+        placed = placed.select("_place", *(known(self.df, c).alias(c) for c in self.columns)).withColumns({s: F.when(F.col(f"`{c}`").isNotNull(), F.col("_place")) for c, s in spots.items()})
+        out = carry(placed, [F.col("_place")], [*spots, *spots.values()], method == "ffill")
+        return Table(out.select(*(F.when(F.abs(F.col("_place") - F.col(s)) <= limit, F.col(f"`{c}`")).alias(c) for c, s in spots.items())))
 
     def replace(self, to_replace: dict) -> Table:
         cases = lambda c: reduce(lambda w, kv: w.when(F.col(c).eqNullSafe(F.lit(kv[0])), F.lit(kv[1])), to_replace.items(), F.when(F.lit(False), F.col(c)))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..plans.quantiles import quantiles
 from ..schema import is_float, known, numeric_columns, require
 from .base import Rule
 
@@ -140,9 +141,16 @@ class FillNA(Rule):
         strategies, constants, outliers = strategies or {}, constants or {}, outliers or {}
         klass = lambda c: {"string": "str", "boolean": "bool", "float": "float", "double": "float"}.get(dict(df.dtypes)[c], "int")
         wanted = {c: strategies.get(klass(c), "constant") for c in columns}
-        functions = {"mean": F.avg, "median": F.median, "most_frequent": lambda x: F.mode(x, True)}
-        asked = [functions[wanted[c]](cls._clean(df, c, outliers.get(klass(c), []), nan_is_null)).alias(c) for c in columns if wanted[c] != "constant"]
-        row = df.agg(*asked).first().asDict() if asked else {}
+        clean = {c: cls._clean(df, c, outliers.get(klass(c), []), nan_is_null) for c in columns}
+        if unknown := set(wanted.values()) - {"constant", "mean", "median", "most_frequent"}:
+            raise KeyError(f"unknown strategies: {sorted(unknown)}")
+        means = [c for c in columns if wanted[c] == "mean"]
+        row = df.agg(*(F.avg(clean[c]).alias(c) for c in means)).first().asDict() if means else {}
+        row |= {c: v[0] for c, v in quantiles(df, {c: clean[c].cast("double") for c in columns if wanted[c] == "median"}, [0.5]).items()}
+        for c in columns:
+            if wanted[c] == "most_frequent":  # the least on ties
+                top = df.select(clean[c].alias("v")).filter("v IS NOT NULL").groupBy("v").count().orderBy(F.desc("count"), "v").first()
+                row[c] = top["v"] if top else None
         values = {}
         for c in columns:
             v = row[c] if c in row else constants.get(klass(c), {"str": "", "bool": False}.get(klass(c), 0))
