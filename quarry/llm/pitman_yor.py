@@ -52,6 +52,8 @@ SWEEPS, BURN_IN = 6, 2
 EXACT, STEPS, TERMS = 64, 16, 30
 #: Tokens of a unit of text, and of all texts for each bucket of pairs and words.
 UNIT, BUCKET = 2_000_000, 2_000_000
+#: Tokens whose figures are computed at once.
+SLICE = 1 << 17
 #: The hash that stands for the end of a text.
 END = np.uint64(0x64D0F7E4D0F7E4D1)
 
@@ -87,6 +89,20 @@ def tally(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarra
     return keys[at], np.add.reduceat(counts, at)
 
 
+def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, sorted; where each stands first; and the place of each key among them. As np.unique, in less memory."""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
+    first = np.concatenate(([True], ranked[1:] != ranked[:-1]))[: len(keys)]
+    found, one = ranked[first], order[first]
+    del ranked
+    rank = np.cumsum(first, dtype=np.int32)
+    rank -= 1
+    place = np.empty(len(keys), np.int32)
+    place[order] = rank
+    return found, one, place
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """(key, n): how often each token stands, by hash. A task's counts are merged whenever 2,000,000 wait."""
     most = 2_000_000
@@ -353,26 +369,31 @@ class Unit:
     """Texts of about UNIT tokens: ``own`` their distinct codes, ``index`` the tokens in it, ``counts`` tokens and ``held`` flag of each text."""
 
     def __init__(self, own: np.ndarray, index: np.ndarray, counts: np.ndarray, held: np.ndarray):
-        self.own, self.index, self.counts, self.held = own, index, counts, held
+        self.own, self.index, self.counts, self.held = own, index.astype(np.int32, copy=False), counts, held
         self.rare = own[own >= _RARE]
         first = np.cumsum(counts) - counts
-        self.before = np.concatenate(([len(own)], index[:-1])) if len(index) else index  # len(own): the start
-        self.before[first] = len(own)
+        self.before = np.empty(len(index), np.int32)
+        self.before[1:] = self.index[:-1]
+        self.before[first] = len(own)  # the start
+
+    def slices(self) -> Iterator[slice]:
+        return (slice(lo, lo + SLICE) for lo in range(0, len(self.index), SLICE))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pair keys, sorted; the place of each token's pair among them; one token of each."""
-        codes = np.append(self.own, _START)
-        keys = pair_keys(codes[self.before], codes[self.index])
-        found, one, place = np.unique(keys, return_index=True, return_inverse=True)
+        codes, keys = np.append(self.own, _START), np.empty(len(self.index), np.uint64)
+        for at in self.slices():
+            keys[at] = pair_keys(codes[self.before[at]], codes[self.index[at]])
+        found, one, place = places(keys)
         return found, place, one
 
     def pack(self) -> bytes:
-        return pack(self.own, self.index.astype(np.int32), self.counts.astype(np.int64), self.held.astype(np.uint8))
+        return pack(self.own, self.index, self.counts.astype(np.int64), self.held.astype(np.uint8))
 
     @staticmethod
     def unpack(data: bytes) -> Unit:
         own, index, counts, held = unpack(data)
-        return Unit(own, index.astype(np.int64), counts, held.astype(bool))
+        return Unit(own, index, counts, held.astype(bool))
 
 
 UNITS, PAIRS, OTHERS, WORDS = range(4)  # kinds of rows: units of text; asks for frequent pairs, other pairs and words that are not frequent
@@ -386,7 +407,8 @@ def units(docs: DataFrame, table, buckets: int) -> DataFrame:
         found, place, one = unit.pairs()
         codes = np.append(unit.own, _START)
         u, w = codes[unit.before[one]], codes[unit.index[one]]
-        n = np.bincount(place, np.repeat(~unit.held, unit.counts), minlength=len(found)).astype(np.int32)
+        n = np.bincount(place[np.repeat(~unit.held, unit.counts)], minlength=len(found)).astype(np.int32)
+        del place, one
         order, ends = by_bucket(found, buckets)
         out = [(UNITS, 0, unit.pack())]
         for part in range(2 * buckets):
@@ -402,20 +424,26 @@ def units(docs: DataFrame, table, buckets: int) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(out), pa.int32()), ids)
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array([number] * len(out), pa.int64()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary()), lists], ["kind", "unit", "bucket", "payload", "ids"])
 
+    def coded(hashes: np.ndarray, counts: np.ndarray, held: np.ndarray) -> Unit:
+        own, _, index = places(hashes)
+        codes = table.value.codes(own)
+        order = np.argsort(codes)
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order))
+        return Unit(codes[order], back[index], counts, held)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, waiting, size = TaskContext.get().partitionId() << 32, [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal number, size
-            own, index = np.unique(np.concatenate([x[0] for x in waiting]), return_inverse=True)
-            codes = table.value.codes(own)
-            order = np.argsort(codes)
-            back = np.empty(len(order), np.int64)
-            back[order] = np.arange(len(order))
-            counts, held = (np.concatenate([x[k] for x in waiting]) for k in (1, 2))
-            yield from rows(Unit(codes[order], back[index], counts, held), number, pa.concat_arrays([x[3] for x in waiting]))
+            hashes, counts, held = (np.concatenate([x[k] for x in waiting]) for k in (0, 1, 2))
+            ids = pa.concat_arrays([x[3] for x in waiting])
             waiting.clear()
+            yield from rows(coded(hashes, counts, held), number, ids)
             number, size = number + 1, 0
+            del hashes
+            scan.release()
 
         for batch in batches:
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
@@ -637,20 +665,27 @@ class Model:
             value = np.zeros(len(pairs))
             found = np.concatenate([unpack(x[2])[0] for x in rows if x[0] != WORDS] or [np.zeros(0)])
             value[by_bucket(pairs, buckets)[0][: len(found)]] = found  # pairs with unseen words, the last ones, are not answered if all others are frequent
-            own_n = n[unit.before]
-            chance = value[place]
-            for k in range(len(kept)):
-                chance += (STRENGTH + DISCOUNT * tables[k])[unit.before] * p[k][unit.index] / len(kept)
-            chance /= STRENGTH + own_n
-            count = n[unit.index]
-            base = np.log10((count + 0.1) / (train + 0.1 * (distinct + 1)))
-            score, counts = scan.per_text(np.log10(chance), unit.counts), unit.counts
-            return pa.table(
+            del pairs, found, rows, words
+            tables *= DISCOUNT
+            tables += STRENGTH
+            logs, base, known = np.empty(len(place)), np.empty(len(place)), np.empty(len(place), bool)
+            for at in unit.slices():
+                before, index = unit.before[at], unit.index[at]
+                chance = value[place[at]]
+                for k in range(len(kept)):
+                    chance += tables[k][before] * p[k][index] / len(kept)
+                logs[at] = np.log10(chance / (STRENGTH + n[before]))
+                base[at] = np.log10((n[index] + 0.1) / (train + 0.1 * (distinct + 1)))
+                known[at] = n[index] > 0
+            score, counts = scan.per_text(logs, unit.counts), unit.counts
+            out = pa.table(
                 {
-                    "doc_id": ids, "held_out": pa.array(unit.held), "n_tokens": pa.array(counts), "n_known": pa.array(scan.per_text((count > 0).astype(np.int64), counts)),
+                    "doc_id": ids, "held_out": pa.array(unit.held), "n_tokens": pa.array(counts), "n_known": pa.array(scan.per_text(known, counts)),
                     "train_tokens": pa.array(np.full(len(counts), train, np.int64)), "base_score": pa.array(scan.per_text(base, counts)), "score": pa.array(score), "perplexity": pa.array(10 ** (-score / counts)),
                 }
             )
+            scan.release()
+            return out
 
         texts = self.units.filter(F.col("kind") == UNITS).select("unit", "payload", "ids")
         kind = texts.schema["ids"].dataType.elementType.simpleString()

@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -228,3 +229,20 @@ def test_empty(spark, empty):
     assert py.score(empty, py.held_out(F.col("doc_id"))).count() == 0
     none = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
     assert [(r.held_out, r.n_known, r.score) for r in py.score(none, py.held_out(F.col("doc_id"))).orderBy("n_tokens").collect()] == [(True, 0, 0.0)] * 2
+
+
+def test_pairs_of_a_unit_in_little_memory():
+    rng = np.random.default_rng(5)
+    own = np.concatenate((np.arange(500, dtype=np.uint64), np.sort(rng.integers(1 << 63, 1 << 64, 500, dtype=np.uint64))))
+    index, counts = rng.integers(0, len(own), 1_000_000), np.full(1000, 1000)
+    unit = py.Unit(own, index, counts, np.zeros(1000, bool))
+    tracemalloc.start()
+    found, place, one = unit.pairs()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    codes, before = np.append(own, py._START), np.roll(index, 1)
+    before[::1000] = len(own)
+    keys = py.pair_keys(codes[before], codes[index])
+    for have, want in zip((found, one, place), np.unique(keys, return_index=True, return_inverse=True)):
+        assert np.array_equal(have, want)
+    assert peak < 45 * len(index)
